@@ -63,9 +63,9 @@ def _word(piece: Column, origcase: bool = False) -> Column:
 
 def annotate(docs: DataFrame, origcase: bool = False) -> DataFrame:
     """Every token of every document: (file, doc_id, sent_id, form, lemma, upos, feats)."""
-    pieces = docs.select("doc_id", F.col("source").alias("file"),
-                         F.explode(F.split("text", "[ \n\t]+")).alias("piece"))
-    words = pieces.select("doc_id", "file", _word(F.col("piece"), origcase).alias("form"))
+    # The words come out of the explode ready made, so later filters do not repeat the rule.
+    forms = F.transform(F.split("text", "[ \n\t]+"), lambda piece: _word(piece, origcase))
+    words = docs.select("doc_id", F.col("source").alias("file"), F.explode(forms).alias("form"))
     columns = annotation(F.col("form"), F.col("doc_id"))
     return words.select("file", "doc_id", F.col("doc_id").alias("sent_id"), "form",
                         *[column.alias(name) for name, column in columns.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -9,8 +10,13 @@ from pyspark.sql import Column, functions as F
 EMPTY = "_"
 
 
-def _name(pair: Column) -> Column:
-    return F.substring_index(pair, "=", 1)
+# A feature that comes again further on in the string.
+REPEATED = r"(?<![^|])([^=|]++)=[^|]*+(?=[|](?:[^|]*+[|])*\1=)"
+
+
+def _or_empty(text: Column) -> Column:
+    # Unlike a CASE, this evaluates the text once.
+    return F.regexp_replace(text, "^$", EMPTY)
 
 
 def core_feats(feats: Column, names: Iterable[str]) -> Column:
@@ -19,23 +25,14 @@ def core_feats(feats: Column, names: Iterable[str]) -> Column:
     Of a feature given twice the last value counts.
     """
     names = list(names)
-    pairs = F.filter(F.split(feats, "[|]"), lambda pair: _name(pair).isin(names))
-    last = F.filter(
-        pairs,
-        lambda pair, i: ~F.exists(
-            F.slice(pairs, i + F.lit(2), F.size(pairs)),
-            lambda later: _name(later) == _name(pair)),
-    )
-    chosen = F.when(F.size(pairs) > 1, F.array_sort(last)).otherwise(pairs)
-    joined = F.array_join(chosen, "|")
-    return F.when(feats.isNull() | (feats == EMPTY) | (joined == ""), F.lit(EMPTY)).otherwise(joined)
+    once = F.regexp_replace(F.coalesce(feats, F.lit(EMPTY)), REPEATED, "")
+    core = F.filter(F.split(once, "[|]"), lambda pair: F.substring_index(pair, "=", 1).isin(names))
+    return _or_empty(F.array_join(F.sort_array(core), "|"))
 
 
 def feature_value(feats: Column, name: str) -> Column:
     """Value of one feature in a canonical FEATS string, ``_`` when absent."""
-    pair = F.try_element_at(
-        F.filter(F.split(feats, "[|]"), lambda p: F.startswith(p, F.lit(f"{name}="))), F.lit(1))
-    return F.coalesce(F.substring(pair, F.lit(len(name) + 2), F.length(pair)), F.lit(EMPTY))
+    return _or_empty(F.regexp_extract(feats, f"(?<![^|]){re.escape(name)}=([^|]*)", 1))
 
 
 def feature_columns(feats: Column, features: dict[str, str]) -> list[Column]:
@@ -45,7 +42,6 @@ def feature_columns(feats: Column, features: dict[str, str]) -> list[Column]:
 
 def equals_for_underscores(msd: Column) -> Column:
     """Write ``CASE_Nom|NUM_Sg`` as ``CASE=Nom|NUM=Sg``; strings with ``=`` stay."""
-    rewritten = F.array_join(
-        F.transform(F.split(msd, "[|]"), lambda part: F.regexp_replace(part, "^([^_]*)_", "$1=")), "|")
+    rewritten = F.regexp_replace(msd, "(^|[|])([^_|]*)_", "$1$2=")
     change = (msd != EMPTY) & F.contains(msd, F.lit("_")) & ~F.contains(msd, F.lit("="))
     return F.when(change, rewritten).otherwise(msd)

@@ -8,6 +8,7 @@ uses: word classes upper, feature values title, words lower.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +24,7 @@ from lexloom.languages import MULTI_VALUE_COLUMNS
 # Search keys, their short forms and operators.
 NUMERIC_KEYS = ("frequency", "len", "lemmafreq", "lemmalen", "amblemma", "hood", "ambform",
                 "initgramfreq", "fingramfreq", "bigramfreq")
+FRACTION_KEYS = ("amblemma", "ambform")
 RELATIVE_KEYS = tuple(f"rel{key}" for key in NUMERIC_KEYS if "freq" in key)
 STRING_KEYS = ("lemma", "lemmac", "form", "pos")
 FORM_KEYS = ("start", "middle", "end")
@@ -136,8 +138,17 @@ def _like(column: Column, pattern: str) -> Column:
     return F.translate(column, UPPER, LOWER).like(folded)
 
 
-def numeric(column: Column, operator: str, number: float) -> Column:
-    return NUMERIC_OPERATORS[operator](column, F.lit(number))
+def numeric(column: Column, operator: str, number: float, fraction: bool = False) -> Column:
+    """Compare with a number. Whole-number columns meet a whole number, so that the
+    test reaches Parquet: above 7.3 is above 7, and nothing equals 7.3."""
+    if fraction or not math.isfinite(number):
+        return NUMERIC_OPERATORS[operator](column, F.lit(number))
+    below = math.floor(number)
+    if below != number:
+        if operator in ("=", "!="):
+            return F.lit(operator == "!=")
+        operator = "<=" if operator.startswith("<") else ">"
+    return NUMERIC_OPERATORS[operator](column, F.lit(below))
 
 
 def string(column: Column, operator: str, values: list[str]) -> Column:
@@ -192,7 +203,7 @@ def condition_column(condition: Condition, columns: Mapping[str, Column],
         key = key.removeprefix("rel")
         return numeric(columns[key], operator, value / PER_MILLION * totals[key])
     if key in NUMERIC_KEYS:
-        return numeric(columns[key], operator, value)
+        return numeric(columns[key], operator, value, key in FRACTION_KEYS)
     if key in FORM_KEYS:
         return within_form(columns["form"], key, operator, value)
     if key == "lemmac":

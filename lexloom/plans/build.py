@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexloom.functions.feats import feature_columns
 from lexloom.functions.grams import final_trigram, has_trigrams, initial_trigram
 from lexloom.languages import features_for, metadata_for
 from lexloom.operators.ambiguity import form_lemma_counts, form_totals, lemmaforms, lemmas
@@ -20,6 +19,9 @@ from lexloom.storage import keep
 
 # Stored lexicon columns beside the base ones.
 DERIVED_COLUMNS = ["hood", "ambform"]
+# Columns of the search table beside base and feature ones.
+WIDE_COLUMNS = [*DERIVED_COLUMNS, "lemmac", "lemmafreq", "lemmalen", "comparts", "amblemma",
+                "bigramfreq", "initgramfreq", "fingramfreq"]
 
 
 def build_from_tokens(tokens: DataFrame, path: str, langcode: str = "fi",
@@ -61,25 +63,24 @@ def build_lexicon(words: DataFrame, path: str, langcode: str = "fi",
     numbered = store(numbered_features(words, features), "features")
     store(feature_values(numbered), "feature_values")
 
-    wide = store(
-        wide_rows(words, features, forms, shares, lemma_rows, init, fin, means)
-        # Frequent words first: the usual frequency filters skip files and row groups.
-        .repartitionByRange(F.col("frequencyx").desc(), "form")
-        .sortWithinPartitions(F.col("frequencyx").desc(), "form"),
-        "wide")
+    # Frequent words first: the usual frequency filters skip files and row groups.
+    order = [F.col("frequencyx").desc(), F.col("form")]
+    rows = wide_rows(words, forms, shares, lemma_rows, init, fin, means).repartitionByRange(*order)
+    rows = lookup_join(rows, numbered.drop("featid"), ["feats", "pos"], "inner")
+    wide = store(rows.select(*BASE_COLUMNS, *WIDE_COLUMNS, *features.values())
+                 .sortWithinPartitions(*order), "wide")
     store(wide.select(*BASE_COLUMNS, *DERIVED_COLUMNS), "lexicon")
     store(corpus_totals(words, lemma_rows, init, fin, pairs), "totals")
     store(metadata_table(spark, langcode), "metadata")
     return Lexicon.load(spark, path)
 
 
-def wide_rows(words: DataFrame, features: dict[str, str], forms: DataFrame, shares: DataFrame,
-              lemma_rows: DataFrame, init: DataFrame, fin: DataFrame, means: DataFrame) -> DataFrame:
-    """Word rows with everything a search can ask for.
+def wide_rows(words: DataFrame, forms: DataFrame, shares: DataFrame, lemma_rows: DataFrame,
+              init: DataFrame, fin: DataFrame, means: DataFrame) -> DataFrame:
+    """Word rows with everything but the feature columns a search can ask for.
 
     Form properties meet on the form, are carried to the readings of each form, then
-    to the word rows: the two wide shuffles are those of the smaller tables. Feature
-    columns are read off the feature string, so no feature table is joined.
+    to the word rows: only the last join moves the word rows themselves.
     """
     form = F.col("form")
     grams_apply = has_trigrams(form)
@@ -102,10 +103,7 @@ def wide_rows(words: DataFrame, features: dict[str, str], forms: DataFrame, shar
     )
     return (
         words.join(readings, ["lemma", "form", "posx"])
-        .select(*BASE_COLUMNS, "hood", "ambform",
-                "lemmac", "lemmafreq", "lemmalen", "comparts", "amblemma",
-                "bigramfreq", "initgramfreq", "fingramfreq",
-                *feature_columns(F.col("feats"), features))
+        .select(*BASE_COLUMNS, *WIDE_COLUMNS)
     )
 
 

@@ -7,29 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexloom.operators.lookup import first_per_file, number_in_file
-from lexloom.sources.text import TOKEN_COLUMNS, field, first_paths, scan, with_row_ids
+from lexloom.sources.text import TOKEN_COLUMNS, first_paths, scan, with_row_ids
 
 GLOB = "*conllu{,.gz}"
 
+# The ten columns of the format.
+COLUMNS = ["token_id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
+TOKEN_FIELDS = ["token_id", "form", "lemma", "upos", "feats"]
 
-def _single_spaces(line: Column) -> Column:
-    return F.regexp_replace(line, " +", " ")
 
+def _tokens(rows: DataFrame, *extra: str) -> DataFrame:
+    """Token columns; runs of spaces become one, range lines such as ``1-2`` are left out."""
+    def text(name: str) -> Column:
+        spaced = F.contains(name, F.lit("  "))
+        return F.when(spaced, F.regexp_replace(name, " +", " ")).otherwise(F.col(name)).alias(name)
 
-def _is_token(line: Column) -> Column:
-    return (F.trim(line) != "") & ~F.startswith(line, F.lit("#"))
-
-
-def _token_fields(line: Column) -> list[Column]:
-    fields = F.split(line, "\t")
-    return [field(fields, 0).alias("token_id"), field(fields, 1).alias("form"),
-            field(fields, 2).alias("lemma"), field(fields, 3).alias("upos"),
-            F.coalesce(field(fields, 5), F.lit("_")).alias("feats")]
-
-
-def _no_ranges(tokens: DataFrame) -> DataFrame:
-    """Leave out multi-word range lines such as ``1-2``."""
-    return tokens.where(~F.contains("token_id", F.lit("-")))
+    rows = rows.where(~F.contains("token_id", F.lit("-")))
+    return rows.select(*extra, "token_id", text("form"), text("lemma"), "upos",
+                       F.coalesce("feats", F.lit("_")).alias("feats"))
 
 
 def read_conllu(spark: SparkSession, path: str | Sequence[str], file_cap: int | None = None,
@@ -46,37 +41,46 @@ def read_conllu(spark: SparkSession, path: str | Sequence[str], file_cap: int |
         rows = number_in_file(rows, "sent_id")
     else:
         rows = first_per_file(rows, "sent_id", sentence_cap)
-    lines = rows.select(
-        "file", F.col("sent_id").cast("long").alias("sent_id"),
-        F.explode(F.split("value", line_sep)).alias("line"))
-    lines = lines.where(_is_token(F.col("line"))).withColumn("line", _single_spaces(F.col("line")))
-    return _no_ranges(lines.select("file", "sent_id", *_token_fields(F.col("line")))).select(TOKEN_COLUMNS)
+    is_token = lambda line: (F.trim(line) != "") & ~F.startswith(line, F.lit("#"))
+    lines = F.filter(F.split("value", line_sep), is_token)
+    # Lines are split inside the explode, so later filters do not split them again.
+    fields = F.explode(F.transform(lines, lambda line: F.split(line, "\t"))).alias("fields")
+    rows = rows.select("file", F.col("sent_id").cast("long").alias("sent_id"), fields)
+    rows = rows.select("file", "sent_id", *[
+        F.get("fields", F.lit(COLUMNS.index(name))).alias(name) for name in TOKEN_FIELDS])
+    return _tokens(rows, "file", "sent_id").select(TOKEN_COLUMNS)
 
 
 def _sentences(spark: SparkSession, path, file_cap: int | None, line_sep: str,
                glob: str) -> DataFrame:
     """One record per sentence: text blocks between blank lines."""
-    rows = _capped_scan(spark, path, file_cap, line_sep * 2, glob)
+    paths, name_filter = _files(spark, path, file_cap, glob)
+    rows = scan(spark, paths, line_sep * 2, name_filter)
     return rows.where(F.col("value").rlike(r"\S"))
 
 
-def _capped_scan(spark: SparkSession, path, file_cap: int | None, line_sep: str | None,
-                 glob: str) -> DataFrame:
+def _files(spark: SparkSession, path, file_cap: int | None, glob: str) -> tuple[list[str], str | None]:
+    """Paths to read, and the name filter when they are directory trees."""
     if not isinstance(path, str):
-        return scan(spark, sorted(path)[:file_cap], line_sep)
+        return sorted(path)[:file_cap], None
     if file_cap is not None:
-        return scan(spark, first_paths(spark, path, glob, file_cap), line_sep)
-    # A glob filter would hide a single file of another name.
-    is_tree = not path.endswith((".conllu", ".conllu.gz", ".txt", ".txt.gz"))
-    return scan(spark, path, line_sep, glob if is_tree else None)
+        return first_paths(spark, path, glob, file_cap), None
+    # A name filter would hide a single file of another name.
+    single = path.endswith((".conllu", ".conllu.gz", ".txt", ".txt.gz"))
+    return [path], None if single else glob
 
 
 def read_conllu_tokens(spark: SparkSession, path: str | Sequence[str],
                        file_cap: int | None = None, glob: str = GLOB) -> DataFrame:
     """Tokens without sentence numbers, for counting.
 
-    Reads line by line in one pass; either line end is fine.
+    One line-by-line pass that reads just the needed fields; either line end is fine.
     """
-    lines = _capped_scan(spark, path, file_cap, None, glob).select("file", F.col("value").alias("line"))
-    lines = lines.where(_is_token(F.col("line"))).withColumn("line", _single_spaces(F.col("line")))
-    return _no_ranges(lines.select("file", *_token_fields(F.col("line"))))
+    paths, name_filter = _files(spark, path, file_cap, glob)
+    reader = (spark.read.schema(", ".join(f"{name} string" for name in COLUMNS))
+              .option("recursiveFileLookup", True).option("sep", "\t").option("quote", "")
+              .option("comment", "#"))
+    if name_filter:
+        reader = reader.option("pathGlobFilter", name_filter)
+    rows = reader.csv(paths).select(F.col("_metadata.file_path").alias("file"), *TOKEN_FIELDS)
+    return _tokens(rows, "file")

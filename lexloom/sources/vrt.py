@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexloom.functions.feats import equals_for_underscores
 from lexloom.operators.lookup import lookup_join, number_in_file
-from lexloom.sources.text import TOKEN_COLUMNS, field, scan, with_row_ids
+from lexloom.sources.text import TOKEN_COLUMNS, scan, with_row_ids
 from lexloom.storage import keep
 
 GLOB = "*.vrt{,.gz}"
@@ -41,9 +41,10 @@ def read_vrt(spark: SparkSession, path: str | Sequence[str],
     tokens = F.regexp_extract("value", r"(?s)(?:^|\n)<sentence[^\n]*\n(.*)$", 1)
     rows = raw.select("file", "block", tokens.alias("value")).where(F.col("value") != "")
     rows = number_in_file(with_row_ids(rows), "sent_id")
-    lines = (rows.select("file", "sent_id", F.explode(F.split("value", "\r?\n")).alias("line"))
-             .where((F.trim("line") != "") & ~F.startswith("line", F.lit("<")))
-             .select("file", "sent_id", F.split("line", "\t").alias("fields")))
+    is_token = lambda line: (F.trim(line) != "") & ~F.startswith(line, F.lit("<"))
+    lines = F.filter(F.split("value", "\r?\n"), is_token)
+    fields = F.explode(F.transform(lines, lambda line: F.split(line, "\t"))).alias("fields")
+    lines = rows.select("file", "sent_id", fields)
     if attributes is None:
         lines = lookup_join(lines, keep(_attributes(raw), "attributes"), ["file"])
     else:
@@ -54,7 +55,7 @@ def read_vrt(spark: SparkSession, path: str | Sequence[str],
         named = F.get("fields", at - 1)
         if name == "feats":
             named = equals_for_underscores(named)
-        unnamed = field(F.col("fields"), UNNAMED[name])
+        unnamed = F.get("fields", F.lit(UNNAMED[name]))
         return F.when(F.col("attributes").isNull(), unnamed).otherwise(named).alias(name)
 
     return lines.select("file", "sent_id", *[column(name) for name in ATTRIBUTES]).select(TOKEN_COLUMNS)
