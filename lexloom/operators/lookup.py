@@ -8,26 +8,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.storage import keep
 
-# A lookup table of at most this many rows is broadcast (tens of megabytes at most).
+# A lookup table is broadcast up to this many rows and bytes of text.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 128 * 1024 * 1024
 SALTS = 64
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has few enough rows to be sent to every executor."""
-    return table.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS,
+                   max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table is counted and measured small enough for every executor."""
+    sizes = [F.lit(0)]
+    for name, kind in table.dtypes:
+        if kind == "string":
+            sizes.append(F.coalesce(F.octet_length(name), F.lit(0)))
+        elif kind == "array<string>":
+            sizes.append(F.coalesce(F.octet_length(F.array_join(name, " ")), F.lit(0)))
+    rows = table.limit(max_rows + 1).select(sum(sizes[1:], sizes[0]).cast("long").alias("bytes"))
+    found = rows.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    return found.rows <= max_rows and (found.bytes or 0) <= max_bytes
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
                 max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Join many rows to a table with one row per key.
 
-    ``how`` is ``left`` or ``inner``. A small table, by its counted rows, is
-    broadcast and the rows do not move. Otherwise both sides are shuffled; keys may
+    ``how`` is ``left`` or ``inner``. A table measured to be small is broadcast and
+    the rows do not move. Otherwise both sides are shuffled; keys may
     be hot, so each key is spread over ``salts`` partitions. The salt comes from the
     row itself, so a recomputed task sends its rows to the same place again.
 
-    The table is counted, so pass one that is stored (see ``keep``).
+    The table is measured first, so pass one that is stored (see ``keep``).
     """
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), list(on), how)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexloom.functions.grams import deletions, swaps, wildcard_patterns
+from lexloom.functions.grams import deletions, match_key, swaps, wildcard_patterns
 from lexloom.operators.lookup import fits_broadcast
 from lexloom.storage import keep
 
@@ -58,15 +58,16 @@ def _substitution_counts(flagged: DataFrame) -> DataFrame:
 def _keyed_counts(rows: DataFrame, key: Column, table: DataFrame) -> DataFrame:
     """(form, n) rows: one for each key of a form that is itself an accepted form."""
     keys = rows.select("form", F.explode(key).alias("key"))
-    targets = keep(table.select(F.col("form").alias("key")), "targets")
+    targets = keep(table.select(match_key(F.col("form")).alias("key")), "targets")
     return _meet(keys, targets, "key").select("form", F.lit(1).cast("long").alias("n"))
 
 
 def _insertion_counts(flagged: DataFrame) -> DataFrame:
     """(form, n) rows: one for each accepted form that is this form plus a letter."""
-    longer = flagged.where("accepted").select(F.explode(deletions(F.col("form"))).alias("form"))
-    sums = keep(longer.groupBy("form").agg(F.count("*").alias("n")), "insertions")
-    return _meet(flagged.select("form"), sums, "form")
+    longer = flagged.where("accepted").select(F.explode(deletions(F.col("form"))).alias("key"))
+    sums = keep(longer.groupBy("key").agg(F.count("*").alias("n")), "insertions")
+    keyed = flagged.select("form", match_key(F.col("form")).alias("key"))
+    return _meet(keyed, sums, "key").select("form", "n")
 
 
 def hamming_hood(flagged: DataFrame, transpositions: bool = False) -> DataFrame:
@@ -106,12 +107,13 @@ def edit1_neighbours(flagged: DataFrame, transpositions: bool = False) -> DataFr
                                   F.explode(wildcard_patterns(neighbour)).alias("key")), "patterns")
     pairs = (_meet(forms.select("form", F.explode(wildcard_patterns(form)).alias("key")), pattern, "key")
              .where(form != neighbour))
-    whole = targets.withColumn("key", neighbour)
+    whole = targets.withColumn("key", match_key(neighbour))
     pairs = pairs.unionByName(
         _meet(forms.select("form", F.explode(deletions(form)).alias("key")), whole, "key"))
     shorter = keep(targets.select("neighbour", "frequency",
-                                  F.explode(deletions(neighbour)).alias("form")), "insertions")
-    pairs = pairs.unionByName(_meet(forms, shorter, "form").withColumn("key", form))
+                                  F.explode(deletions(neighbour)).alias("key")), "insertions")
+    pairs = pairs.unionByName(
+        _meet(forms.select("form", match_key(form).alias("key")), shorter, "key"))
     if transpositions:
         pairs = pairs.unionByName(
             _meet(forms.select("form", F.explode(swaps(form)).alias("key")), whole, "key"))

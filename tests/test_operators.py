@@ -99,6 +99,27 @@ def test_neighbours(random_forms, monkeypatch, broadcast, swap):
         f: sum(1 for a, b in pairs if a == f and len(a) == len(b)) for f in freqs}
 
 
+def test_neighbours_of_very_long_forms(spark):
+    stem = "ab" * 1500
+    forms = [stem, stem[:70] + "x" + stem[71:], stem[:-1], stem + "q", "ba" + stem[2:], stem[:2000],
+             "a" * 63, "a" * 64, "a" * 65, "a" * 64 + "b"]
+    flagged = keep(spark.createDataFrame([(f, 1, True) for f in forms],
+                                         "form string, frequency long, accepted boolean"))
+    pairs = {(f, g) for f in forms for g in forms if f != g and one_edit(f, g, True)}
+    assert len(pairs) > 8
+    found = neighbours.edit1_neighbours(flagged, True).collect()
+    assert len(found) == len(pairs) and {(r.form, r.neighbour) for r in found} == pairs
+    assert as_dict(neighbours.edit1_counts(flagged, True)) == {
+        f: sum(1 for a, _ in pairs if a == f) for f in forms}
+
+
+def test_broadcast_check(spark):
+    table = keep(spark.range(50).select("id", F.repeat(F.lit("x"), F.lit(1000)).alias("text")))
+    assert lookup.fits_broadcast(table)
+    assert not lookup.fits_broadcast(table, max_rows=49)
+    assert not lookup.fits_broadcast(table, max_bytes=49_999)
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_join_paths_agree(spark, how):
     rows = spark.range(2000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), F.col("id").alias("v"))
