@@ -71,6 +71,20 @@ def annotate(docs: DataFrame, origcase: bool = False) -> DataFrame:
                         *[column.alias(name) for name, column in columns.items()])
 
 
+def once_per_session(make):
+    """Keep what a function returns for a session and folder: it wrote the tables already."""
+    made: dict[tuple[str, str], object] = {}
+
+    @wraps(make)
+    def get(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, str(sf_dir))
+        if key not in made:
+            made[key] = make(spark, sf_dir)
+        return made[key]
+
+    return get
+
+
 # Documents per rendered text file.
 PER_FILE = 100
 
@@ -96,6 +110,12 @@ def write_conllu(spark: SparkSession, sf_dir: str, compression: str = "none") ->
     return _write_parts(spark, rows, "\n\n", "conllu", compression)
 
 
+@once_per_session
+def conllu_text(spark: SparkSession, sf_dir: str) -> str:
+    """The plain CoNLL-U folder, rendered once per session."""
+    return write_conllu(spark, sf_dir)
+
+
 def write_vrt(spark: SparkSession, sf_dir: str) -> str:
     """The tokens as VRT text with underscore-style features; returns the folder."""
     def line(number, form, note):
@@ -139,21 +159,7 @@ def tokens(spark: SparkSession, sf_dir: str, origcase: bool = False) -> DataFram
 
 def words(spark: SparkSession, sf_dir: str, langcode: str = "fi") -> DataFrame:
     """Word rows counted from the documents."""
-    return count_words(tokens(spark, sf_dir), features_for(langcode))
-
-
-def once_per_session(make):
-    """Keep what a function returns for a session and folder: it wrote the tables already."""
-    made: dict[tuple[str, str], object] = {}
-
-    @wraps(make)
-    def get(spark: SparkSession, sf_dir: str):
-        key = (spark.sparkContext.applicationId, str(sf_dir))
-        if key not in made:
-            made[key] = make(spark, sf_dir)
-        return made[key]
-
-    return get
+    return count_words(all_tokens(spark, sf_dir), features_for(langcode))
 
 
 @once_per_session

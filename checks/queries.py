@@ -44,7 +44,7 @@ def _part(tokens: DataFrame) -> DataFrame:
 
 @query
 def conllu_tokens(spark, sf_dir):
-    return _part(conllu.read_conllu(spark, fx.write_conllu(spark, sf_dir), glob="*.txt"))
+    return _part(conllu.read_conllu(spark, fx.conllu_text(spark, sf_dir), glob="*.txt"))
 
 
 @query
@@ -56,13 +56,13 @@ def conllu_dir(spark, sf_dir):
 
 @query
 def conllu_lexicon(spark, sf_dir):
-    tokens = conllu.read_conllu_tokens(spark, fx.write_conllu(spark, sf_dir), glob="*.txt")
+    tokens = conllu.read_conllu_tokens(spark, fx.conllu_text(spark, sf_dir), glob="*.txt")
     return words.count_words(tokens, features_for("fi")).drop("primary")
 
 
 @query
 def conllu_tokens_capped(spark, sf_dir):
-    folder = fx.write_conllu(spark, sf_dir)
+    folder = fx.conllu_text(spark, sf_dir)
     return _part(conllu.read_conllu(spark, folder, sentence_cap=SENTENCE_CAP, glob="*.txt"))
 
 
@@ -100,7 +100,7 @@ def rejected_tokens(spark, sf_dir):
 
 @query
 def lexicon_origcase(spark, sf_dir):
-    tokens = fx.tokens(spark, sf_dir, origcase=True)
+    tokens = fx.all_tokens(spark, sf_dir, origcase=True)
     return words.count_words(tokens, features_for("fi"), origcase=True).select(
         "lemma", "form", "pos", "feats", "frequency")
 
@@ -493,7 +493,7 @@ def prune_report(spark, sf_dir):
 
 @query
 def merge_lexicons(spark, sf_dir):
-    tokens = fx.tokens(spark, sf_dir)
+    tokens = fx.all_tokens(spark, sf_dir)
     parts = [words.count_words(tokens.where(F.col("doc_id") % 2 == rest), features_for("fi"))
              for rest in (0, 1)]
     return words.merge_words(*parts).drop("primary")

@@ -54,6 +54,8 @@ def _columns(df: DataFrame) -> dict[str, Column]:
 def matching(lexicon: Lexicon, conditions: Iterable[Any]) -> DataFrame:
     """All wide rows that meet the conditions, unordered and unlimited."""
     checked, _top = check(conditions, lexicon.features)
+    if not checked:
+        raise ValueError("no conditions given")
     rows = _view(lexicon, names_auxiliary(checked))
     return rows.where(all_of(checked, _columns(rows), lexicon.totals))
 
@@ -65,10 +67,15 @@ def result_columns(features: Mapping[str, str], lemmas: bool = True, grams: bool
     return [F.col(name).alias(SHOWN_AS.get(name, name)) for name in names]
 
 
+def _shown(key: str) -> str:
+    """The result column behind a search key or column name."""
+    name = ALIASES.get(key, key)
+    return SHOWN_AS.get(name, name)
+
+
 def _ordering(order_by: str, ascending: bool) -> list[Any]:
     """The asked order; the row key settles ties."""
-    name = ALIASES.get(order_by, order_by)
-    first = F.col(SHOWN_AS.get(name, name))
+    first = F.col(_shown(order_by))
     return [first.asc() if ascending else first.desc(), *ROW_KEY]
 
 
@@ -77,7 +84,7 @@ def search(lexicon: Lexicon, conditions: Iterable[Any], order_by: str = "frequen
            lemmas: bool = True, grams: bool = True) -> DataFrame:
     """The first rows that meet the conditions, most frequent first by default."""
     rows = matching(lexicon, conditions).select(result_columns(lexicon.features, lemmas, grams))
-    if order_by not in rows.columns and ALIASES.get(order_by) not in (*rows.columns, *SHOWN_AS):
+    if _shown(order_by) not in rows.columns:
         raise ValueError(f"Order column '{order_by}' not ok")
     return rows.orderBy(_ordering(order_by, ascending)).limit(limit)
 
@@ -136,10 +143,10 @@ def aggregate(lexicon: Lexicon, keys: Sequence[str], operator: str = "sum",
     rows = matching(lexicon, conditions) if conditions else _view(lexicon, raw=False)
     if "posx" in names:
         rows = rows.withColumn("posx", F.when(F.col("pos") == "AUX", "VERB").otherwise(F.col("pos")))
-    group = [F.col(name).alias(SHOWN_AS.get(name, name)) for name in names]
+    group = [F.col(name).alias(_shown(name)) for name in names]
     measure = F.sum("frequency") if operator == "sum" else F.count("frequency")
     return (rows.groupBy(group).agg(measure.alias("agg"))
-            .orderBy(F.col("agg").desc(), *[SHOWN_AS.get(name, name) for name in names]).limit(limit))
+            .orderBy(F.col("agg").desc(), *map(_shown, names)).limit(limit))
 
 
 def relative_frequencies(lexicon: Lexicon, result: DataFrame, scale: float = 1e6,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexloom.functions.feats import core_feats
 from lexloom.functions.words import posx, valid_word
@@ -14,15 +14,19 @@ BASE_COLUMNS = ["lemma", "form", "pos", "posx", "feats", "len",
                 "frequency", "frequencyx", "primary"]
 
 
+def _accepted() -> Column:
+    """Form and lemma are both valid words in lower case."""
+    return valid_word(F.lower("form")) & valid_word(F.lower("lemma"))
+
+
 def accepted_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens whose form and lemma are both valid words in lower case."""
-    return tokens.where(valid_word(F.lower("form")) & valid_word(F.lower("lemma")))
+    """Tokens that count."""
+    return tokens.where(_accepted())
 
 
 def rejected_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens left out though form and lemma are longer than one character."""
-    valid = valid_word(F.lower("form")) & valid_word(F.lower("lemma"))
-    return (tokens.where(~valid & (F.length("form") > 1) & (F.length("lemma") > 1))
+    return (tokens.where(~_accepted() & (F.length("form") > 1) & (F.length("lemma") > 1))
             .select("file", "sent_id", "form", "lemma"))
 
 
@@ -38,7 +42,10 @@ def count_words(tokens: DataFrame, core_names: Iterable[str], origcase: bool = F
         .groupBy("form", "lemma", "upos", "feats").agg(F.count("*").alias("frequency"))
     )
     fold = (lambda name: F.col(name)) if origcase else F.lower
-    rows = accepted_tokens(distinct).select(
+    # Tied to the count, the test stays above the grouping; alone, the optimizer would
+    # move it below and run it for every token again.
+    counted = distinct.where(F.when(F.col("frequency") > 0, _accepted()).otherwise(False))
+    rows = counted.select(
         fold("lemma").alias("lemma"), fold("form").alias("form"), F.col("upos").alias("pos"),
         core_feats(F.col("feats"), core_names).alias("feats"), "frequency")
     return sum_words(rows)

@@ -71,10 +71,12 @@ def _files(spark: SparkSession, path, file_cap: int | None, glob: str) -> tuple[
 
 
 def read_conllu_tokens(spark: SparkSession, path: str | Sequence[str],
-                       file_cap: int | None = None, glob: str = GLOB) -> DataFrame:
+                       file_cap: int | None = None, glob: str = GLOB,
+                       with_file: bool = False) -> DataFrame:
     """Tokens without sentence numbers, for counting.
 
     One line-by-line pass that reads just the needed fields; either line end is fine.
+    The file of each token costs time on every row, so it is there on request only.
     """
     paths, name_filter = _files(spark, path, file_cap, glob)
     reader = (spark.read.schema(", ".join(f"{name} string" for name in COLUMNS))
@@ -82,5 +84,8 @@ def read_conllu_tokens(spark: SparkSession, path: str | Sequence[str],
               .option("comment", "#"))
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
-    rows = reader.csv(paths).select(F.col("_metadata.file_path").alias("file"), *TOKEN_FIELDS)
-    return _tokens(rows, "file")
+    rows = reader.csv(paths)
+    if not with_file:
+        return _tokens(rows)
+    file = F.col("_metadata.file_path").alias("file")
+    return _tokens(rows.select(file, *TOKEN_FIELDS), "file")

@@ -67,8 +67,9 @@ def test_all_errors_at_once(lexicon):
     for part in ("'foo' not ok", "'a' is not a number", "'naat compound'", "'len' not ok: '~='", "'len<10'",
                  "'start' not ok: 'like'"):
         assert part in str(caught.value)
-    with pytest.raises(ValueError):
-        s.search(lexicon, [])
+    for nothing in ([], [("top", "=", 2)]):
+        with pytest.raises(ValueError):
+            s.search(lexicon, nothing)
     with pytest.raises(ValueError):
         s.search(lexicon, [("len", ">", 1)], order_by="nothing")
     with pytest.raises(ValueError):

@@ -59,15 +59,16 @@ def test_conllu_gzip_and_line_ends(spark, corpus, name, line_sep):
     plain = read_conllu(spark, str(corpus / "a.conllu")).drop("file")
     other = read_conllu(spark, str(corpus / name), line_sep=line_sep).drop("file")
     assert sorted(plain.collect()) == sorted(other.collect())
-    counted = read_conllu_tokens(spark, str(corpus / name)).drop("file")
+    counted = read_conllu_tokens(spark, str(corpus / name))
     assert sorted(plain.drop("sent_id").collect()) == sorted(counted.collect())
 
 
 def test_conllu_tree_and_caps(spark, corpus):
-    tree = read_conllu_tokens(spark, str(corpus))
+    tree = read_conllu_tokens(spark, str(corpus), with_file=True)
     assert tree.select("file").distinct().count() == 3
     assert tree.count() == 27
-    assert read_conllu_tokens(spark, str(corpus), file_cap=1).select("file").distinct().count() == 1
+    first = read_conllu_tokens(spark, str(corpus), file_cap=1, with_file=True)
+    assert first.select("file").distinct().count() == 1
     capped = read_conllu(spark, str(corpus), sentence_cap=1)
     per_file = {r.file.rsplit("/", 1)[1]: r["count"] for r in capped.groupBy("file").count().collect()}
     assert per_file["a.conllu"] == per_file["b.conllu.gz"] == 3
