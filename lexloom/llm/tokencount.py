@@ -179,7 +179,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, work: Workspa
         (wanted.mapInArrow(_encoder(tokenizer_path), "digest binary, n_tokens long")
          .select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
          .write.mode("append").parquet(cache))
-    counts = read_cache(spark, cache, version)
+    # Written, so that both sides of the last join are plain and hot digests can be split.
+    counts = work.keep(read_cache(spark, cache, version).join(
+        keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
     return keyed.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
