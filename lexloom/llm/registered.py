@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import simhash, tokencount
+from lexloom.llm import passages, quality, simhash, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
     return {
         "op1_token_counts": tokencount.op1_token_counts,
+        "op2_repeated_passages": passages.op2_repeated_passages,
+        "op7_quality": quality.op7_quality,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
     }
 
