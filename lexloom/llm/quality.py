@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexloom.llm.sample import labelled_sample, remainder
 from lexloom.llm.store import Workspace, table
@@ -199,7 +200,7 @@ def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
                                              names=[*kept, "score"])
 
     inner = docs.select(*kept)
-    schema = inner.schema.add("score", "double")
+    schema = StructType([*inner.schema.fields, StructField("score", DoubleType())])
     return inner.mapInArrow(run, schema)
 
 
