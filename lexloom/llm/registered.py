@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import passages, quality, simhash, tokencount, toxicity
+from lexloom.llm import (chat, decontaminate, fixity, mixing, passages, quality, simhash,
+                         tokencount, topk, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": tokencount.op1_token_counts,
         "op2_repeated_passages": passages.op2_repeated_passages,
+        "op3_mixing": mixing.op3_mixing,
+        "op4_topk": topk.op4_topk,
+        "op5_chat_format": chat.op5_chat_format,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_quality": quality.op7_quality,
+        "op8_warc_fixity": fixity.op8_warc_fixity,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
     }
