@@ -178,9 +178,9 @@ def train(sample: DataFrame) -> bytes:
     return sample.select("text", "label").coalesce(1).mapInArrow(fit, "model binary").first().model
 
 
-def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
-    """``docs`` with a ``score``: the probability that the whole text has label 1."""
-    kept = [c for c in docs.columns if c != "score"]
+def score_texts(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability that the whole text has label 1."""
+    kept = [c for c in docs.columns if c != name]
     text = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +197,10 @@ def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
                 scores.append(network.score(group))
             found = np.round(np.concatenate(scores or [np.empty(0)]), 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())],
-                                             names=[*kept, "score"])
+                                             names=[*kept, name])
 
     inner = docs.select(*kept)
-    schema = StructType([*inner.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*inner.schema.fields, StructField(name, DoubleType())])
     return inner.mapInArrow(run, schema)
 
 

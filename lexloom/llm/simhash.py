@@ -20,6 +20,8 @@ DISTANCE = 2
 PARTS = 5
 #: Buckets of up to this many distinct fingerprints are compared pair by pair.
 SMALL_BUCKET = 64
+#: Rows of a set that is broadcast, at most; more are shuffled.
+BROADCAST_ROWS = 500_000
 _HASHED_AT_ONCE = 1 << 16
 
 
@@ -53,8 +55,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         values = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64,
                              batch.num_rows)
+        # Columns after the text go along.
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            [batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]],
+            names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -175,6 +179,43 @@ def simhash_components(docs: DataFrame, work: Workspace | None = None,
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, work: Workspace | None = None,
+                         distance: int = DISTANCE) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates; same columns.
+
+    The row with the smallest ``doc_id`` stays (null ids come last; ties: any one of the rows with
+    the smallest text number). Documents without words have fingerprint zero and are one group.
+    """
+    work = work or Workspace(docs.sparkSession, "distinct")
+    content = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_content")
+    prints = work.keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), content)
+                       .mapInArrow(_fingerprints, "doc_id long, fp long, _content long"), "prints")
+    classes = work.keep(prints.select("fp").distinct(), "classes")
+    roots = components(near_links(classes, work, distance), work)
+    # A row's place: ids before null ids, then the text's number.
+    place = F.struct(F.col("doc_id").isNull().alias("_none"),
+                     F.coalesce("doc_id", F.lit(0)).alias("_id"), "_content")
+    firsts = prints.groupBy("fp").agg(F.min(place).alias("first"))
+    kept = (firsts.join(roots, F.col("fp") == F.col("node"), "left")
+            .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+            .select("first.*").distinct())
+    kept = work.keep(kept, "kept")
+    rows = docs.withColumns({"_none": F.col("doc_id").isNull(),
+                             "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+                             "_content": content})
+    keys = ["_none", "_id", "_content"]
+    # Only rows that repeat both id and text meet each other to leave one of them.
+    repeated = work.keep(rows.groupBy(*keys).count().where("count > 1").select(*keys), "repeated")
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    chosen = rows.join(kept, keys, "left_semi")
+    if repeated.isEmpty():
+        return chosen.select(*docs.columns)
+    once = chosen.join(repeated, keys, "left_anti")
+    return once.unionByName(chosen.join(repeated, keys, "left_semi").dropDuplicates(keys)).select(
+        *docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at two or fewer differing bits."""
     return simhash_components(table(spark, sf_dir, "documents"))
