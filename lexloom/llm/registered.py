@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import (chat, decontaminate, fixity, mixing, passages, quality, simhash,
+from lexloom.llm import (chat, decontaminate, fixity, mixing, oracles, passages, quality, simhash,
                          tokencount, topk, toxicity)
 
 
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return oracles.oracle_sql()
