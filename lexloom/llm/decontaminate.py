@@ -68,6 +68,12 @@ def _windows(hashes: str, width: int) -> Column:
         else cast(array() as array<bigint>) end""")
 
 
+def _placed_windows(hashes: str, width: int) -> Column:
+    """Windows as ``width, pos, hash``."""
+    return F.transform(_windows(hashes, width), lambda h, i: F.struct(
+        F.lit(width).alias("width"), i.alias("pos"), h.alias("hash")))
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """``item_id, at, hash, width, windows``: template windows of all items.
 
@@ -113,9 +119,7 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
         widths = [WINDOW]
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hashed = _hashed(_templates(texts, "node"))
-    both = F.flatten(F.array(*(F.transform(
-        _windows("_h", w), lambda h, i, w=w: F.struct(F.lit(w).alias("width"), i.alias("pos"), h.alias("hash")))
-        for w in sorted(widths))))
+    both = F.flatten(F.array(*(_placed_windows("_h", w) for w in sorted(widths))))
     wanted = bench.select("width", "hash", "item_id", "at", "windows")
     # Explode plain longs where all windows have one width, which is the common case.
     if len(widths) == 1:
@@ -143,10 +147,10 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
     lengths = bench.groupBy("item_id").agg(F.first("width").alias("width"))
     places = (hits.join(found.select("node", "item_id"), ["node", "item_id"])
               .join(lengths, "item_id")
-              .select("node", "item_id", "hash", "pos", "at",
+              .select("node", "item_id", "hash", F.struct("pos", "at").alias("hit"),
                       F.explode(F.expr("sequence(0, width - 1)")).alias("step"))
-              .select("node", "item_id", "hash", (F.col("pos") + F.col("step")).alias("pos"),
-                      (F.col("at") + F.col("step")).alias("at")))
+              .select("node", "item_id", "hash", "hit", (F.col("hit.pos") + F.col("step")).alias("pos"),
+                      (F.col("hit.at") + F.col("step")).alias("at")))
     filled = work.keep(places.join(doc_slots, ["node", "pos"]).join(
         item_slots, ["item_id", "at", "kind"]), "slots")
     per_value = filled.groupBy("node", "item_id", "kind", "item_value").agg(
@@ -155,11 +159,11 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
     slots = per_value.groupBy("node", "item_id").agg(
         F.count("*").alias("slots"), F.sum("same").alias("same_slots"), F.max("ways").alias("ways"))
     # Windows that hold with the item's own values, for texts that also hold other fillings.
-    foreign = filled.where("doc_value != item_value").select("node", "item_id", "hash").distinct()
+    foreign = filled.where("doc_value != item_value").select("node", "item_id", "hit").distinct()
     own = (hits.join(found.select("node", "item_id"), ["node", "item_id"])
-           .select("node", "item_id", "hash").distinct().join(
-               foreign, ["node", "item_id", "hash"], "left_anti")
-           .groupBy("node", "item_id").agg(F.count("*").alias("own")))
+           .select("node", "item_id", "hash", F.struct("pos", "at").alias("hit"))
+           .join(foreign, ["node", "item_id", "hit"], "left_anti")
+           .groupBy("node", "item_id").agg(F.count_distinct("hash").alias("own")))
     judged = (found.join(slots, ["node", "item_id"], "left").join(own, ["node", "item_id"], "left")
               .na.fill(0, ["slots", "same_slots", "own"]).na.fill(1, ["ways"]))
     verbatim = (F.col("slots") == F.col("same_slots")) | (F.col("own") >= coverage * F.col("windows"))

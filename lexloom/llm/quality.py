@@ -175,7 +175,12 @@ def train(sample: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network.p)], pa.binary())],
                                          names=["model"])
 
-    return sample.select("text", "label").coalesce(1).mapInArrow(fit, "model binary").first().model
+    row = sample.select("text", "label").coalesce(1).mapInArrow(fit, "model binary").first()
+    if row:
+        return row.model
+    model = Network()  # no rows, so no task ran
+    model.fit([], [])
+    return pickle.dumps(model.p)
 
 
 def score_texts(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:

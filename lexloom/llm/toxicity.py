@@ -91,6 +91,7 @@ class NoisyOr:
     def fit(self, texts: list[str], labels: list[int]) -> None:
         """Adam with shrinkage on the log loss of documents; sentences have no labels."""
         y = np.array(labels, float)
+        self.bias = START
         raw = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
         seen = [np.unique(np.concatenate(words(d, PREFIXES)[2])) for d in raw]
         keys, times = np.unique(np.concatenate(seen or [np.empty(0, np.uint64)]), return_counts=True)
@@ -146,7 +147,12 @@ def train(sample: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())],
                                          names=["model"])
 
-    return sample.select("text", "label").coalesce(1).mapInArrow(fit, "model binary").first().model
+    row = sample.select("text", "label").coalesce(1).mapInArrow(fit, "model binary").first()
+    if row:
+        return row.model
+    model = NoisyOr()  # no rows, so no task ran
+    model.fit([], [])
+    return pickle.dumps(vars(model))
 
 
 def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
