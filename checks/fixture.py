@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexloom.functions.words import valid_word
 from lexloom.languages import features_for
+from lexloom.operators.lookup import number_sorted
 from lexloom.operators.words import count_words
 from lexloom.plans.build import build_lexicon
 from lexloom.sources.store import Lexicon
@@ -107,6 +108,11 @@ def write_conllu(spark: SparkSession, sf_dir: str, compression: str = "none") ->
                            F.lit("0"), blank, blank, blank)
 
     rows = _rendered(documents(spark, sf_dir), line, "# doc = ", "\n")
+    # Some sentences have more blank lines before them, and one file in three has CRLF ends.
+    blanks = F.when(F.col("doc_id") % 3 == 0, F.lit("\n\n")).when(F.col("doc_id") % 7 == 0, "\n").otherwise("")
+    value = F.concat(blanks, "value")
+    crlf = F.replace(value, F.lit("\n"), F.lit("\r\n"))
+    rows = rows.withColumn("value", F.when(F.col("part").cast("int") % 3 == 1, crlf).otherwise(value))
     return _write_parts(spark, rows, "\n\n", "conllu", compression)
 
 
@@ -138,13 +144,26 @@ def _write_parts(spark: SparkSession, rows: DataFrame, line_sep: str, name: str,
     return folder
 
 
+# Items in each word list file.
+PER_LIST = 7000
+
+
 def write_wordlist(spark: SparkSession, items: DataFrame, kind: str) -> str:
-    """A short word list as one text file; returns the folder."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "item"))),
-                          lambda entry: entry["item"])
+    """A word list as files of ``PER_LIST`` items, in order; returns the folder.
+
+    The second file is in Latin-1 and the third begins with a byte order mark.
+    """
+    part = F.floor((F.col("position") - 1) / PER_LIST).cast("int").alias("part")
+    rows = items.select(part, "position", F.col("item").alias("value"))
+    head = F.when(F.col("part") == 2, "\ufeff# type = " + kind).otherwise("# type = " + kind)
+    heads = rows.select("part").distinct().select(
+        "part", F.posexplode(F.array(head, F.lit("# items"))).alias("position", "value")).withColumn(
+            "position", F.col("position") - 1)
+    lines = (rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "position"))
     folder = new_folder(spark, "wordlist")
-    (items.agg(F.concat(F.lit(f"# type = {kind}\n# items\n\n"), F.array_join(ordered, "\n")).alias("value"))
-     .write.text(folder))
+    lines.where("part <> 1").select("part", "value").write.partitionBy("part").text(folder)
+    (lines.where("part = 1").select("value").write.option("encoding", "ISO-8859-1").option("sep", "\t")
+     .option("quote", "").csv(f"{folder}/latin"))
     return folder
 
 
@@ -187,23 +206,22 @@ def even_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).where(F.col("doc_id") % 2 == 0).select("form").distinct()
 
 
-def form_list(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
-    """(item, position): the most frequent forms as a word list."""
-    return _ranked(stored_forms(spark, sf_dir), size)
+def form_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, position): all forms as a word list, most frequent first."""
+    return _ranked(stored_forms(spark, sf_dir))
 
 
-def lemma_list(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
-    """(item, position): the most frequent lemmas, without separators, as a word list."""
+def lemma_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, position): all lemmas, without separators, likewise."""
     rows = (stored_words(spark, sf_dir).groupBy(F.replace("lemma", F.lit("#"), F.lit("")).alias("form"))
             .agg(F.sum("frequency").alias("frequency")))
-    return _ranked(rows, size)
+    return _ranked(rows)
 
 
-def _ranked(rows: DataFrame, size: int) -> DataFrame:
-    top = rows.orderBy(F.col("frequency").desc(), "form").limit(size)
-    # The list has ``size`` rows, so one partition numbers it.
-    rank = F.row_number().over(Window.orderBy(F.col("frequency").desc(), "form"))
-    return top.select(F.col("form").alias("item"), rank.alias("position"))
+def _ranked(rows: DataFrame) -> DataFrame:
+    ordered = rows.select((-F.col("frequency")).alias("rarity"), "form")
+    return number_sorted(ordered, ["rarity", "form"], "position").select(
+        F.col("form").alias("item"), F.col("position").cast("int").alias("position"))
 
 
 def nonword_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from checks import fixture as fx
 from lexloom.functions import feats
 from lexloom.languages import features_for
 from lexloom.operators import ambiguity, features, grams, neighbours, search, words
-from lexloom.plans.build import corpus_totals, metadata_table
+from lexloom.plans.build import build_from_tokens, build_lexicon, corpus_totals, metadata_table
 from lexloom.sources import conllu, export, vrt, wordlist
 from lexloom.sources.store import EXPORTED, Lexicon
 from lexloom.storage import keep, new_folder
@@ -71,6 +71,12 @@ def vrt_tokens(spark, sf_dir):
     return _part(vrt.read_vrt(spark, fx.write_vrt(spark, sf_dir), glob="*.txt"))
 
 
+@query
+def vrt_lexicon(spark, sf_dir):
+    tokens = vrt.read_vrt_tokens(spark, fx.write_vrt(spark, sf_dir), glob="*.txt")
+    return words.count_words(tokens, features_for("fi")).drop("primary")
+
+
 @query
 def wordlist_scan(spark, sf_dir):
     folder = fx.write_wordlist(spark, fx.form_list(spark, sf_dir), "form")
@@ -349,7 +355,7 @@ def filter_like(spark, sf_dir):
 
 @query
 def filter_lemma(spark, sf_dir):
-    top = [row["item"] for row in fx.lemma_list(spark, sf_dir, 20).collect()]
+    top = [row["item"] for row in fx.lemma_list(spark, sf_dir).where("position <= 20").collect()]
     return _matches(spark, sf_dir, ("lemma", "in", top), ("lemma", "!=", "the"))
 
 
@@ -423,26 +429,28 @@ def top_n_per_form(spark, sf_dir):
 @query
 def relative_freqs(spark, sf_dir):
     lexicon = fx.lexicon(spark, sf_dir)
-    return search.relative_frequencies(lexicon, _matches(spark, sf_dir, ("frequency", ">", 1)))
+    return search.relative_frequencies(lexicon, _matches(spark, sf_dir, ("frequency", ">", 0)))
 
 
 @query
 def relative_freqs_only(spark, sf_dir):
     lexicon = fx.lexicon(spark, sf_dir)
-    return search.relative_frequencies(lexicon, _matches(spark, sf_dir, ("len", ">", 8)), drop=True)
+    return search.relative_frequencies(lexicon, _matches(spark, sf_dir, ("len", ">", 0)), drop=True)
 
 
 @query
 def column_groups(spark, sf_dir):
     lexicon = fx.lexicon(spark, sf_dir)
-    result = search.relative_frequencies(lexicon, _matches(spark, sf_dir, ("frequency", ">", 1)))
+    result = search.relative_frequencies(lexicon, _matches(spark, sf_dir, ("frequency", ">", 0)))
     return search.column_groups(result, form=True, lemma=True, grams=False, features=False,
                                 frequencies="relative")
 
 
 @query
 def drop_empty_columns(spark, sf_dir):
-    return search.drop_empty_columns(_matches(spark, sf_dir, ("pos", "=", "verb"), ("frequency", ">", 1)))
+    # All rows together leave no column empty, so one that is empty is added.
+    rows = _matches(spark, sf_dir, ("frequency", ">", 0))
+    return search.drop_empty_columns(rows.withColumn("unused", F.lit(feats.EMPTY)))
 
 
 @query
@@ -499,11 +507,34 @@ def merge_lexicons(spark, sf_dir):
     return words.merge_words(*parts).drop("primary")
 
 
+def _rebuilt(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """The search table of a lexicon built from word rows, opened from where it is stored."""
+    built = build_lexicon(rows, new_folder(spark, "rebuilt"), accepted_forms=fx.even_forms(spark, sf_dir),
+                          auto=fx.AUTO, minimum=fx.MINIMUM)
+    return Lexicon.load(spark, built.path)["wide"].drop("primary")
+
+
+@query
+def prune_rebuilt(spark, sf_dir):
+    stored = Lexicon.load(spark, fx.lexicon(spark, sf_dir).path)
+    return _rebuilt(spark, sf_dir, words.prune_words(stored["lexicon"], min_frequency=2,
+                                                     drop_pos=["PRON"], max_length=11))
+
+
+@query
+def merge_rebuilt(spark, sf_dir):
+    tokens = fx.all_tokens(spark, sf_dir)
+    stored = [build_from_tokens(tokens.where(F.col("doc_id") % 2 == rest), new_folder(spark, "half"))
+              for rest in (0, 1)]
+    halves = [Lexicon.load(spark, half.path)["lexicon"] for half in stored]
+    return _rebuilt(spark, sf_dir, words.merge_words(*halves))
+
+
 # Exports
 
 @query
 def export_roundtrip(spark, sf_dir):
-    result = _matches(spark, sf_dir, ("frequency", ">", 1))
+    result = _matches(spark, sf_dir, ("frequency", ">", 0))
     folder = new_folder(spark, "export")
     export.write_text(result, folder, tsv=True)
     return export.read_text(spark, folder, result.schema, tsv=True)

@@ -39,6 +39,7 @@ NUMERIC_OPERATORS = {"=": eq, "!=": ne, "<": lt, ">": gt, "<=": le, ">=": ge}
 STRING_OPERATORS = ("=", "!=", "like", "not like", "in", "not in")
 FORM_OPERATORS = ("=", "!=", "in", "not in")
 PER_MILLION = 1e6
+LONG = 2.0 ** 63
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -64,10 +65,26 @@ def _in_case(key: str, value: str) -> str:
     return value.title()
 
 
-def check(conditions: Iterable[Any], features: Mapping[str, str]) -> tuple[list[Condition], int | None]:
+def _missing(key: str, columns: Mapping[str, Any]) -> bool:
+    """Whether a result lacks what a checked key is compared with."""
+    if key in ("compound", "lemmac", "lemma"):
+        return not {"lemma", "lemmac"} & set(columns) if key == "lemmac" else "lemma" not in columns
+    if key in FORM_KEYS:
+        return "form" not in columns
+    if key in RELATIVE_KEYS or key in NUMERIC_KEYS:
+        plain = key.removeprefix("rel")
+        return plain not in columns and f"rel{plain}" not in columns
+    if key == "top":
+        return "form" not in columns or not {"frequency", "relfrequency"} & set(columns)
+    return key not in columns
+
+
+def check(conditions: Iterable[Any], features: Mapping[str, str],
+          available: Mapping[str, Any] | None = None) -> tuple[list[Condition], int | None]:
     """Checked conditions, and the N of a ``("top", "=", N)`` entry.
 
-    All mistakes are reported in one ``ValueError``.
+    ``available`` are the columns of a result to be searched (default: all). All mistakes are
+    reported in one ``ValueError``.
     """
     columns = set(features.values())
     checked: list[Condition] = []
@@ -83,15 +100,15 @@ def check(conditions: Iterable[Any], features: Mapping[str, str]) -> tuple[list[
             if words in (["compound"], ["not", "compound"]):
                 checked.append(Condition("compound", "=", len(words) == 1))
             else:
-                errors.append(f"Invalid query part: '{given}'")
+                errors.append(f"cannot read condition '{given}'")
             continue
         if not isinstance(given, (tuple, list)) or len(given) != 3:
-            errors.append(f"Invalid query part: '{given}'")
+            errors.append(f"cannot read condition '{given}'")
             continue
         key, operator, value = given
         key = ALIASES.get(str(key).lower(), str(key).lower())
         operator = " ".join(str(operator).lower().split())
-        bad_operator = f"Query comparator for '{key}' not ok: '{operator}'"
+        bad_operator = f"operator of '{key}' not ok: '{operator}'"
 
         if key in NUMERIC_KEYS or key in RELATIVE_KEYS or key == "top":
             if operator not in (NUMERIC_OPERATORS if key != "top" else ("=",)):
@@ -99,8 +116,10 @@ def check(conditions: Iterable[Any], features: Mapping[str, str]) -> tuple[list[
                 continue
             try:
                 number = float(value)
-            except (TypeError, ValueError):
-                errors.append(f"Query value for key '{key}' not ok: '{value}' is not a number")
+            except (TypeError, ValueError, OverflowError):
+                number = math.nan
+            if not math.isfinite(number):
+                errors.append(f"value of '{key}': '{value}' is not a number")
                 continue
             if key == "top":
                 top = int(number)
@@ -121,7 +140,11 @@ def check(conditions: Iterable[Any], features: Mapping[str, str]) -> tuple[list[
             else:
                 errors.append(bad_operator)
         else:
-            errors.append(f"Query key '{key}' not ok")
+            errors.append(f"key '{key}' not ok")
+    if available is not None:
+        wanted = [c.key for c in checked] + (["top"] if top is not None else [])
+        errors += [f"the result has no column for '{key}'" for key in dict.fromkeys(wanted)
+                   if _missing(key, available)]
     if errors:
         raise ValueError("\n".join(errors))
     return checked, top
@@ -141,8 +164,10 @@ def _like(column: Column, pattern: str) -> Column:
 def numeric(column: Column, operator: str, number: float, fraction: bool = False) -> Column:
     """Compare with a number. Whole-number columns meet a whole number, so that the
     test reaches Parquet: above 7.3 is above 7, and nothing equals 7.3."""
-    if fraction or not math.isfinite(number):
+    if fraction:
         return NUMERIC_OPERATORS[operator](column, F.lit(number))
+    if not -LONG <= number < LONG:  # beyond all values of the column
+        return column.isNotNull() & F.lit(NUMERIC_OPERATORS[operator](0.0, number))
     below = math.floor(number)
     if below != number:
         if operator in ("=", "!="):
@@ -200,8 +225,12 @@ def condition_column(condition: Condition, columns: Mapping[str, Column],
         found = is_compound(columns["lemma"])
         return found if value else ~found
     if key in RELATIVE_KEYS:
+        if key.removeprefix("rel") not in columns:
+            return NUMERIC_OPERATORS[operator](columns[key], F.lit(value))
         key = key.removeprefix("rel")
         return numeric(columns[key], operator, value / PER_MILLION * totals[key])
+    if key in NUMERIC_KEYS and key not in columns:
+        return NUMERIC_OPERATORS[operator](columns[f"rel{key}"], F.lit(value * PER_MILLION / totals[key]))
     if key in NUMERIC_KEYS:
         return numeric(columns[key], operator, value, key in FRACTION_KEYS)
     if key in FORM_KEYS:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lexloom.storage import keep
 
@@ -12,6 +15,8 @@ from lexloom.storage import keep
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 SALTS = 64
+# Input splits of a numbered scan; a row for each is broadcast (some 60 bytes).
+MOST_SPLITS = 4_000_000
 
 
 def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS,
@@ -67,31 +72,111 @@ def number_sorted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
             .drop("_part", "_at", "_start"))
 
 
-def number_in_file(rows: DataFrame, name: str) -> DataFrame:
-    """Number scanned rows 1, 2, 3 ... inside each file, without moving the rows.
+def _segments(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Ranges of rows with the same file and block."""
+    n = batch.num_rows
+    if n < 2:
+        return [(0, n)] if n else []
+    change = np.zeros(n - 1, bool)
+    for name in ("file", "block"):
+        column = batch.column(name)
+        change |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    edges = np.concatenate(([0], np.flatnonzero(change) + 1, [n]))
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
 
-    ``rows`` come straight from a scan and carry ``file``, ``block`` (start of the
-    input split) and ``row_id`` (``monotonically_increasing_id``). A first pass
-    counts the rows of each split; the second adds the split's start. If the input
-    was split differently in the two passes the job fails instead of misnumbering.
+
+def _last_event(events: np.ndarray, before: int) -> np.ndarray:
+    """For each line and the end: the last event that is not 0 before it."""
+    at = np.where(events != 0, np.arange(1, len(events) + 1), 0)
+    filled = np.maximum.accumulate(np.concatenate(([0], at)))
+    return np.where(filled > 0, np.concatenate(([before], events))[filled], before)
+
+
+def _starts(events: np.ndarray, before: np.ndarray, every: bool) -> np.ndarray:
+    return (events > 0) & (every | (before < 0))
+
+
+def numbered_lines(lines: DataFrame, events, every: bool, header=None,
+                   most: int = MOST_SPLITS) -> DataFrame:
+    """Number the units that scanned lines belong to, inside each file, without moving a line.
+
+    ``lines`` come straight from a scan: ``file``, ``block`` (start of the input split) and
+    ``value``. ``events`` gives for an Arrow array of lines 1 where a line opens a unit, -1
+    where it closes one, else 0. With ``every`` each opening is a new unit, else only one that
+    follows a closing line or the file's start. ``sent_id`` counts the units up to a line;
+    ``inside`` says whether the line stands after an opening. ``header``, if given, picks a text
+    from lines; ``header`` of a line is the first one of its file.
+
+    A first pass sums up each split: its units (if it begins outside or inside one) and its last
+    event. The second continues from the splits before it. There is a small row per
+    split, so these are always broadcast, up to ``most``; with more, read larger splits.
     """
-    sizes = keep(rows.groupBy("file", "block").agg(F.min("row_id").alias("_first"),
-                                                   F.count("*").alias("_n")), "splits")
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list = []
+        for batch in batches:
+            found = events(batch.column("value"))
+            texts = header(batch.column("value")) if header else None
+            done = []
+            for start, stop in _segments(batch):
+                key = (batch.column("file")[start].as_py(), batch.column("block")[start].as_py())
+                if not now or now[:2] != list(key):
+                    if now:
+                        done.append(now)
+                    now = [*key, 0, 0, 0, None]  # units from outside, from inside, last event, header
+                for place, incoming in ((2, -1), (3, 1)):
+                    state = _last_event(found[start:stop], now[4] or incoming)
+                    now[place] += int(_starts(found[start:stop], state[:-1], every).sum())
+                now[4] = int(_last_event(found[start:stop], now[4])[-1])
+                if texts is not None and now[5] is None:
+                    now[5] = next((t for t in texts.slice(start, stop - start).drop_null().to_pylist()), None)
+            if done:
+                yield _rows(done)
+        if now:
+            yield _rows([now])
+
+    splits = keep(lines.mapInArrow(
+        summary, "file string, block long, out long, ins long, event int, header string"), "splits")
+    if splits.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} input splits: raise spark.sql.files.maxPartitionBytes")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keep(sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))), "starts")
-    place = F.col("row_id") - F.col("_first")
-    number = F.when(
-        (place >= 0) & (place < F.col("_n")), F.col("_start") + place + 1
-    ).otherwise(F.raise_error(F.lit(
+    whole = Window.partitionBy("file").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = splits.withColumn("_in", F.coalesce(F.last(
+        F.when(F.col("event") != 0, F.col("event")), True).over(before), F.lit(-1)))
+    placed = placed.withColumn("_n", F.when(F.col("_in") > 0, F.col("ins")).otherwise(F.col("out")))
+    placed = keep(placed.select(
+        F.xxhash64("file").alias("_file"), "block", F.col("_in").cast("int").alias("_in"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.first("header", True).over(whole).alias("header")), "starts")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, state = None, 0, -1
+        for batch in batches:
+            found = events(batch.column("value"))
+            numbers, inside = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, bool)
+            for start, stop in _segments(batch):
+                key = (batch.column("file")[start].as_py(), batch.column("block")[start].as_py())
+                if key != last:
+                    last = key
+                    count, state = batch.column("_start")[start].as_py(), batch.column("_in")[start].as_py()
+                states = _last_event(found[start:stop], state)
+                steps = np.cumsum(_starts(found[start:stop], states[:-1], every))
+                numbers[start:stop] = count + steps
+                inside[start:stop] = states[1:] > 0
+                count, state = int(numbers[stop - 1]), int(states[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), batch.column("header"), pa.array(numbers), pa.array(inside),
+                 batch.column("value")], names=["file", "header", "sent_id", "inside", "value"])
+
+    known = lines.withColumn("_file", F.xxhash64("file")).join(
+        F.broadcast(placed), ["_file", "block"], "left")
+    checked = F.when(F.col("_start").isNotNull(), F.col("_start")).otherwise(F.raise_error(F.lit(
         "input splits changed between passes; fix spark.sql.files.minPartitionNum")).cast("long"))
-    return (lookup_join(rows, starts, ["file", "block"])
-            .withColumn(name, number).drop("_first", "_n", "_start"))
+    return known.select("file", "block", checked.alias("_start"), "_in", "header", "value").mapInArrow(
+        number, "file string, header string, sent_id long, inside boolean, value string")
 
 
-def first_per_file(rows: DataFrame, name: str, n: int | Column) -> DataFrame:
-    """Keep the first ``n`` rows of each file and number them.
-
-    Spark cuts each partition to ``n`` rows per file before the shuffle.
-    """
-    in_file = Window.partitionBy("file").orderBy("block", "row_id")
-    return rows.withColumn(name, F.row_number().over(in_file)).where(F.col(name) <= n)
+def _rows(found: list) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)],
+                                      names=["file", "block", "out", "ins", "event", "header"])

@@ -17,9 +17,7 @@ from lexloom.operators.lookup import lookup_join
 from lexloom.sources.store import Lexicon
 from lexloom.storage import keep
 
-# Default row limits, and columns with another name in results.
-ROW_LIMIT = 10000
-AGGREGATE_LIMIT = 20
+# Columns with another name in results.
 SHOWN_AS = {"nouncase": "case", "nnumber": "number"}
 
 ROW_KEY = ["lemma", "form", "pos", "feats"]
@@ -80,16 +78,20 @@ def _ordering(order_by: str, ascending: bool) -> list[Any]:
 
 
 def search(lexicon: Lexicon, conditions: Iterable[Any], order_by: str = "frequency",
-           ascending: bool = False, limit: int = ROW_LIMIT,
+           ascending: bool = False, limit: int | None = None,
            lemmas: bool = True, grams: bool = True) -> DataFrame:
-    """The first rows that meet the conditions, most frequent first by default."""
+    """Rows that meet the conditions, most frequent first by default; all, or the first ``limit``."""
     rows = matching(lexicon, conditions).select(result_columns(lexicon.features, lemmas, grams))
     if _shown(order_by) not in rows.columns:
         raise ValueError(f"Order column '{order_by}' not ok")
-    return rows.orderBy(_ordering(order_by, ascending)).limit(limit)
+    return _first(rows.orderBy(_ordering(order_by, ascending)), limit)
 
 
-def search_wordlist(lexicon: Lexicon, items: DataFrame, kind: str, limit: int = ROW_LIMIT,
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def search_wordlist(lexicon: Lexicon, items: DataFrame, kind: str, limit: int | None = None,
                     lemmas: bool = True, grams: bool = True) -> DataFrame:
     """Rows of the listed words (``item``, ``position``), with their list position first.
 
@@ -102,13 +104,16 @@ def search_wordlist(lexicon: Lexicon, items: DataFrame, kind: str, limit: int =
     listed = keep(items.groupBy(F.col("item").alias(key)).agg(F.max("position").alias("order")),
                   "wordlist")
     rows = lookup_join(_view(lexicon, raw=False), listed, [key], "inner")
-    return (rows.select("order", *result_columns(lexicon.features, lemmas, grams))
-            .orderBy(_ordering("frequency", False)).limit(limit))
+    rows = rows.select("order", *result_columns(lexicon.features, lemmas, grams))
+    return _first(rows.orderBy(_ordering("frequency", False)), limit)
 
 
 def refilter(lexicon: Lexicon, result: DataFrame, conditions: Iterable[Any]) -> DataFrame:
-    """Narrow an earlier result; ``("top", "=", N)`` keeps the N best rows of each form."""
-    checked, top = check(conditions, lexicon.features)
+    """Narrow an earlier result; ``("top", "=", N)`` keeps the N best rows of each form.
+
+    A frequency that the result only shows per million is compared by that.
+    """
+    checked, top = check(conditions, lexicon.features, _columns(result))
     out = result.where(all_of(checked, _columns(result), lexicon.totals))
     return out if top is None or top <= 0 else top_per_form(out, top)
 
@@ -119,24 +124,26 @@ def top_per_form(result: DataFrame, n: int) -> DataFrame:
     Spark cuts every partition to ``n`` rows per form before the shuffle, so a form
     with very many rows stays cheap.
     """
-    best = Window.partitionBy("form").orderBy(F.col("frequency").desc(), "lemma", "pos", "feats")
+    frequency = "frequency" if "frequency" in result.columns else "relfrequency"
+    ties = [name for name in ("lemma", "pos", "feats") if name in result.columns]
+    best = Window.partitionBy("form").orderBy(F.col(frequency).desc(), *ties)
     return result.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= n).drop("_rank")
 
 
 def aggregate(lexicon: Lexicon, keys: Sequence[str], operator: str = "sum",
-              conditions: Iterable[Any] = (), limit: int = AGGREGATE_LIMIT) -> DataFrame:
-    """Frequency sum or row count by word and feature keys, largest first.
+              conditions: Iterable[Any] = (), limit: int | None = None) -> DataFrame:
+    """Frequency sum or row count by word and feature keys, largest first; all or ``limit`` groups.
 
     ``agg`` is the result column. A verb and its auxiliary twin count once.
     """
     names = [ALIASES.get(key, key) for key in keys]
     allowed = {"lemma", "form", "pos", "posx", *lexicon.features.values()}
-    errors = [f"Invalid aggregation column: '{key}'" for key, name in zip(keys, names)
+    errors = [f"cannot group by '{key}': it is no word or feature key" for key, name in zip(keys, names)
               if name not in allowed]
     if operator not in ("sum", "count"):
-        errors.append(f"Invalid aggregation operator: '{operator}'")
+        errors.append(f"'{operator}' does not aggregate: choose sum or count")
     if not names:
-        errors.append("Not an aggregation query")
+        errors.append("name at least one key to group by")
     if errors:
         raise ValueError("\n".join(errors))
     conditions = list(conditions)
@@ -145,8 +152,8 @@ def aggregate(lexicon: Lexicon, keys: Sequence[str], operator: str = "sum",
         rows = rows.withColumn("posx", F.when(F.col("pos") == "AUX", "VERB").otherwise(F.col("pos")))
     group = [F.col(name).alias(_shown(name)) for name in names]
     measure = F.sum("frequency") if operator == "sum" else F.count("frequency")
-    return (rows.groupBy(group).agg(measure.alias("agg"))
-            .orderBy(F.col("agg").desc(), *map(_shown, names)).limit(limit))
+    return _first(rows.groupBy(group).agg(measure.alias("agg"))
+                  .orderBy(F.col("agg").desc(), *map(_shown, names)), limit)
 
 
 def relative_frequencies(lexicon: Lexicon, result: DataFrame, scale: float = 1e6,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexloom.operators.lookup import first_per_file, number_in_file
-from lexloom.sources.text import TOKEN_COLUMNS, first_paths, scan, with_row_ids
+from lexloom.operators.lookup import numbered_lines
+from lexloom.sources.text import TOKEN_COLUMNS, first_paths, scan
 
 GLOB = "*conllu{,.gz}"
 
@@ -28,35 +31,33 @@ def _tokens(rows: DataFrame, *extra: str) -> DataFrame:
 
 
 def read_conllu(spark: SparkSession, path: str | Sequence[str], file_cap: int | None = None,
-                sentence_cap: int | None = None, line_sep: str = "\n",
-                glob: str = GLOB) -> DataFrame:
+                sentence_cap: int | None = None, glob: str = GLOB) -> DataFrame:
     """Tokens with the number of their sentence in the file.
 
-    ``file_cap`` reads the first files by name, ``sentence_cap`` the first sentences
-    of each file. ``line_sep`` is the line end, ``\\r\\n`` for such files; ``glob``
-    picks the files of a directory tree.
+    Any line end is fine, and any number of blank lines between sentences. ``file_cap``
+    reads the first files by name, ``sentence_cap`` the first sentences of each file;
+    ``glob`` picks the files of a directory tree.
+
+    Files are scanned by line, each exactly once. Inside an input split the lines are
+    numbered by a count of sentence starts that runs along with the scan, so no text moves.
+    A first pass counts the starts of each split, which shift the numbers of the next.
     """
-    rows = with_row_ids(_sentences(spark, path, file_cap, line_sep, glob))
-    if sentence_cap is None:
-        rows = number_in_file(rows, "sent_id")
-    else:
-        rows = first_per_file(rows, "sent_id", sentence_cap)
-    is_token = lambda line: (F.trim(line) != "") & ~F.startswith(line, F.lit("#"))
-    lines = F.filter(F.split("value", line_sep), is_token)
-    # Lines are split inside the explode, so later filters do not split them again.
-    fields = F.explode(F.transform(lines, lambda line: F.split(line, "\t"))).alias("fields")
-    rows = rows.select("file", F.col("sent_id").cast("long").alias("sent_id"), fields)
-    rows = rows.select("file", "sent_id", *[
+    paths, name_filter = _files(spark, path, file_cap, glob)
+    lines = numbered_lines(scan(spark, paths, glob=name_filter), _text_or_blank, every=False)
+    tokens = lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
+    if sentence_cap is not None:
+        tokens = tokens.where(F.col("sent_id") <= sentence_cap)
+    # Split once, in a projection of its own.
+    tokens = tokens.select("file", "sent_id", F.explode(F.array(F.split("value", "\t"))).alias("fields"))
+    tokens = tokens.select("file", "sent_id", *[
         F.get("fields", F.lit(COLUMNS.index(name))).alias(name) for name in TOKEN_FIELDS])
-    return _tokens(rows, "file", "sent_id").select(TOKEN_COLUMNS)
+    return _tokens(tokens, "file", "sent_id").select(TOKEN_COLUMNS)
 
 
-def _sentences(spark: SparkSession, path, file_cap: int | None, line_sep: str,
-               glob: str) -> DataFrame:
-    """One record per sentence: text blocks between blank lines."""
-    paths, name_filter = _files(spark, path, file_cap, glob)
-    rows = scan(spark, paths, line_sep * 2, name_filter)
-    return rows.where(F.col("value").rlike(r"\S"))
+def _text_or_blank(lines: pa.Array) -> np.ndarray:
+    """1 for a line with text, -1 for a blank one."""
+    size = pc.binary_length(pc.ascii_trim_whitespace(lines))
+    return np.where(size.to_numpy(zero_copy_only=False) > 0, 1, -1)
 
 
 def _files(spark: SparkSession, path, file_cap: int | None, glob: str) -> tuple[list[str], str | None]:

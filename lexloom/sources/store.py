@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexloom.languages import features_for
+from lexloom.languages import features_for, metadata_for
 
 TABLES = ["lexicon", "wide", "features", "feature_values", "lemmaforms", "forms", "lemmas",
           "init_grams", "fin_grams", "bigrams", "word_bigrams", "totals", "metadata"]
@@ -14,6 +14,10 @@ TABLES = ["lexicon", "wide", "features", "feature_values", "lemmaforms", "forms"
 # Tables with the lexicon's content; ``wide`` is the search copy of it.
 EXPORTED = [name for name in TABLES if name != "wide"]
 
+# What is read when a lexicon is opened.
+METADATA_KEYS = list(metadata_for("fi"))
+TOTAL_NAMES = ["frequency", "lemmafreq", "initgramfreq", "fingramfreq", "bigramfreq"]
+
 
 @dataclass
 class Lexicon:
@@ -35,7 +39,12 @@ class Lexicon:
     def load(cls, spark: SparkSession, path: str) -> "Lexicon":
         """Open a stored lexicon; only its few metadata and total rows are read."""
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-        # Two and five rows by construction.
-        metadata = {row.key: row.value for row in tables["metadata"].limit(100).collect()}
-        totals = {row.name: row.total for row in tables["totals"].limit(100).collect()}
+        # Only the keys the library uses come to the driver, whatever else is stored.
+        metadata = {row.key: row.value for row in
+                    tables["metadata"].where(F.col("key").isin(METADATA_KEYS)).distinct().collect()}
+        totals = {row.name: row.total for row in
+                  tables["totals"].where(F.col("name").isin(TOTAL_NAMES)).distinct().collect()}
+        missing = sorted({"langcode", *TOTAL_NAMES} - set(metadata) - set(totals))
+        if missing:
+            raise ValueError(f"the lexicon in {path} lacks {', '.join(missing)}")
         return cls(path, tables, metadata, totals)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexloom.functions.feats import equals_for_underscores
-from lexloom.operators.lookup import lookup_join, number_in_file
-from lexloom.sources.text import TOKEN_COLUMNS, scan, with_row_ids
+from lexloom.operators.lookup import lookup_join, numbered_lines
+from lexloom.sources.text import TOKEN_COLUMNS, scan
 from lexloom.storage import keep
 
 GLOB = "*.vrt{,.gz}"
@@ -20,35 +23,35 @@ UNNAMED = {"form": 0, "token_id": 1, "lemma": 2, "upos": 4, "feats": 5}
 ATTRIBUTES = {"token_id": "ref", "form": "word", "lemma": "lemma", "upos": "pos", "feats": "msd"}
 
 
-def _attributes(raw: DataFrame) -> DataFrame:
-    """(file, attributes): the attribute names given in a file's header comment."""
-    names = F.regexp_extract("value", r"positional-attributes[^\n]*?:\s+([^\n]*)/", 1)
-    return (raw.where(F.contains("value", F.lit("positional-attributes")))
-            .select("file", "block", F.split(F.trim(names), r"\s+").alias("attributes"))
-            .groupBy("file").agg(F.min_by("attributes", "block").alias("attributes")))
+def _header(lines: pa.Array) -> pa.Array:
+    """The attribute names of header comments, null for other lines."""
+    found = pc.extract_regex(lines, r"positional-attributes.*?:\s+(?P<names>.*)/")
+    return pc.struct_field(found, 0)
 
 
-def read_vrt(spark: SparkSession, path: str | Sequence[str],
-             attributes: Sequence[str] | None = None, glob: str = GLOB) -> DataFrame:
-    """Tokens with the number of their sentence in the file.
+def _marks(lines: pa.Array) -> np.ndarray:
+    """1 where a sentence opens, -1 where it closes."""
+    opens = pc.starts_with(lines, "<sentence").to_numpy(zero_copy_only=False)
+    closes = pc.starts_with(lines, "</sentence").to_numpy(zero_copy_only=False)
+    return opens.astype(np.int8) - closes.astype(np.int8)
 
-    The attribute order is the one given, else the one in the file's
-    ``positional-attributes`` header, else a fixed one. Feature strings of named
-    attributes are rewritten to ``K=V`` form.
-    """
+
+def _lines(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFrame:
     is_tree = isinstance(path, str) and not path.endswith((".vrt", ".vrt.gz"))
-    raw = scan(spark, path, "</sentence>", glob if is_tree else None)
-    tokens = F.regexp_extract("value", r"(?s)(?:^|\n)<sentence[^\n]*\n(.*)$", 1)
-    rows = raw.select("file", "block", tokens.alias("value")).where(F.col("value") != "")
-    rows = number_in_file(with_row_ids(rows), "sent_id")
-    is_token = lambda line: (F.trim(line) != "") & ~F.startswith(line, F.lit("<"))
-    lines = F.filter(F.split("value", "\r?\n"), is_token)
-    fields = F.explode(F.transform(lines, lambda line: F.split(line, "\t"))).alias("fields")
-    lines = rows.select("file", "sent_id", fields)
+    lines = scan(spark, path, glob=glob if is_tree else None)
+    return lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
+
+
+def _fields(lines: DataFrame, attributes: Sequence[str] | None) -> DataFrame:
+    """Token columns of the lines; ``header`` holds the names a file gives, if any."""
+    rows = lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("<")))
     if attributes is None:
-        lines = lookup_join(lines, keep(_attributes(raw), "attributes"), ["file"])
+        names = F.split(F.trim("header"), r"\s+")
     else:
-        lines = lines.withColumn("attributes", F.array(*[F.lit(a) for a in attributes]))
+        names = F.array(*[F.lit(a) for a in attributes])
+    keys = [name for name in ("file", "sent_id") if name in rows.columns]
+    rows = rows.withColumn("attributes", names)
+    rows = rows.select(*keys, "attributes", F.explode(F.array(F.split("value", "\t"))).alias("fields"))
 
     def column(name: str):
         at = F.array_position("attributes", ATTRIBUTES[name]).cast("int")
@@ -58,4 +61,32 @@ def read_vrt(spark: SparkSession, path: str | Sequence[str],
         unnamed = F.get("fields", F.lit(UNNAMED[name]))
         return F.when(F.col("attributes").isNull(), unnamed).otherwise(named).alias(name)
 
-    return lines.select("file", "sent_id", *[column(name) for name in ATTRIBUTES]).select(TOKEN_COLUMNS)
+    return rows.select(*keys, *[column(name) for name in ATTRIBUTES])
+
+
+def read_vrt(spark: SparkSession, path: str | Sequence[str],
+             attributes: Sequence[str] | None = None, glob: str = GLOB) -> DataFrame:
+    """Tokens with the number of their sentence in the file.
+
+    The attribute order is the one given, else the one in the file's
+    ``positional-attributes`` header, else a fixed one. Feature strings of named
+    attributes are rewritten to ``K=V`` form. The corpus is read twice: once for sentence
+    counts and headers, once for the tokens.
+    """
+    lines = numbered_lines(_lines(spark, path, glob), _marks, every=True, header=_header)
+    return _fields(lines.where("inside"), attributes).select(TOKEN_COLUMNS)
+
+
+def read_vrt_tokens(spark: SparkSession, path: str | Sequence[str],
+                    attributes: Sequence[str] | None = None, glob: str = GLOB) -> DataFrame:
+    """Tokens without sentence numbers, for counting: one pass, and one for headers.
+
+    Token lines count wherever they stand.
+    """
+    lines = _lines(spark, path, glob)
+    if attributes is not None:
+        return _fields(lines.drop("file", "block"), attributes)
+    names = F.regexp_extract("value", r"positional-attributes.*?:\s+(.*)/", 1)
+    headers = (lines.where(F.contains("value", F.lit("positional-attributes")))
+               .groupBy("file").agg(F.min_by(names, "block").alias("header")))
+    return _fields(lookup_join(lines, keep(headers, "headers"), ["file"]), None).drop("file")

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
 import gzip
+import random
 
+import numpy as np
 import pytest
 
 from lexloom.functions.feats import core_feats
 from lexloom.languages import features_for
 from lexloom.operators.words import count_words, rejected_tokens
+from lexloom.operators.lookup import numbered_lines
 from lexloom.sources.conllu import read_conllu, read_conllu_tokens
-from lexloom.sources.vrt import read_vrt
+from lexloom.sources.text import scan
+from lexloom.sources.vrt import read_vrt, read_vrt_tokens
 from lexloom.sources.wordlist import read_wordlist
 from pyspark.sql import functions as F
 
@@ -54,10 +58,10 @@ def test_conllu_tokens(spark, corpus):
     assert rows[0].feats == "Number=Sing|Case=Ine|Clitic=Han,Kin|Degree=Pos"
 
 
-@pytest.mark.parametrize("name,line_sep", [("sub/b.conllu.gz", "\n"), ("crlf.conllu", "\r\n")])
-def test_conllu_gzip_and_line_ends(spark, corpus, name, line_sep):
+@pytest.mark.parametrize("name", ["sub/b.conllu.gz", "crlf.conllu"])
+def test_conllu_gzip_and_line_ends(spark, corpus, name):
     plain = read_conllu(spark, str(corpus / "a.conllu")).drop("file")
-    other = read_conllu(spark, str(corpus / name), line_sep=line_sep).drop("file")
+    other = read_conllu(spark, str(corpus / name)).drop("file")
     assert sorted(plain.collect()) == sorted(other.collect())
     counted = read_conllu_tokens(spark, str(corpus / name))
     assert sorted(plain.drop("sent_id").collect()) == sorted(counted.collect())
@@ -119,6 +123,46 @@ def test_core_feats(spark, feats, expected):
     assert row.first().f == expected
 
 
+@pytest.mark.parametrize("split_bytes", [97, 211, 4096])
+def test_sentence_numbers_over_many_splits(spark, tmp_path, split_bytes):
+    """Runs of one to three blank lines, both line ends, plain and gzip, in one tree."""
+    rng = random.Random(split_bytes)
+    expected = []
+    for name in ("a.conllu", "b.conllu", "c.conllu.gz"):
+        end = "\r\n" if name[0] == "b" else "\n"
+        text = end * rng.randrange(3)
+        for number in range(1, 120):
+            text += f"# sent_id = {number}{end}" * rng.randrange(2)
+            for token in range(1, rng.randrange(2, 5)):
+                form = "w" * rng.randrange(1, 60)
+                text += line(str(token), form, form, "NOUN") + end
+                expected.append((name, number, str(token), form))
+            text += end * rng.randrange(1, 4)
+        data = text.encode()
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_conllu(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = [(r.file.rsplit("/", 1)[1], r.sent_id, r.token_id, r.form) for r in rows]
+    assert sorted(found) == sorted(expected)
+
+
+def test_numbering_does_not_move_text(spark, corpus):
+    """The scan side of the second pass has no exchange, however small the bound on joins is."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = read_conllu(spark, str(corpus))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    with pytest.raises(ValueError, match="splits"):
+        numbered_lines(scan(spark, str(corpus)), lambda lines: np.ones(len(lines)), every=True, most=1)
+
+
 HEADER = "<!-- #vrt positional-attributes: ref word lemma pos msd dephead deprel lex/ -->\n"
 
 
@@ -141,6 +185,9 @@ def test_vrt(spark, tmp_path):
         ("named.vrt", 2, "1", "ja", "ja", "CONJ", "_"),
         ("named.vrt", 2, "2", "sen", "se", "PRON", "Case=Gen|A_B"),
         ("unnamed.vrt", 1, "1", "Talon", "talo", "NOUN", "CASE_Gen")]
+    counted = sorted((r.token_id, r.form, r.lemma, r.upos, r.feats) for r in read_vrt_tokens(
+        spark, str(tmp_path)).collect())
+    assert counted == sorted(row[2:] for row in found)
     given = read_vrt(spark, str(tmp_path / "named.vrt"), attributes=["ref", "lemma", "word", "pos", "msd"])
     assert {r.lemma for r in given.collect()} == {"Talon", "on", "ja", "sen"}
 
