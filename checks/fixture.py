@@ -163,7 +163,7 @@ def write_wordlist(spark: SparkSession, items: DataFrame, kind: str) -> str:
     folder = new_folder(spark, "wordlist")
     lines.where("part <> 1").select("part", "value").write.partitionBy("part").text(folder)
     (lines.where("part = 1").select("value").write.option("encoding", "ISO-8859-1").option("sep", "\t")
-     .option("quote", "").csv(f"{folder}/latin"))
+     .option("quote", "").option("comment", "\u0001").csv(f"{folder}/latin"))
     return folder
 
 
