@@ -9,12 +9,13 @@ import json
 import os
 import sys
 import time
+from statistics import median
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 # From text to counted words, then the derived tables, then searches on the stored result.
 HEADLINE = [
-    "conllu_lexicon", "lexicon_build", "merge_lexicons", "rejected_tokens",
+    "conllu_lexicon", "conllu_tokens", "vrt_tokens", "lexicon_build", "merge_lexicons", "rejected_tokens",
     "lemma_ambiguity", "form_ambiguity", "feature_ids",
     "bigram_freqs", "word_bigram_freqs", "hood_with_lexicon", "edit1_counts", "edit1_neighbours",
     "search_topk", "search_order_by", "filter_numeric", "filter_middle", "clitic_in",
@@ -23,6 +24,10 @@ HEADLINE = [
 ]
 
 
+# Seconds below which a query is run three times.
+SHORT = 4
+
+
 def main() -> None:
     from checks import fixture
     from checks.queries import queries
@@ -35,10 +40,14 @@ def main() -> None:
 
     seconds: dict[str, float] = {}
 
-    def timed(name, run) -> None:
-        start = time.perf_counter()
-        run()
-        seconds[name] = round(time.perf_counter() - start, 3)
+    def timed(name, run, again: bool = False) -> None:
+        """Seconds of a run; for short ones the median of three."""
+        runs: list[float] = []
+        while not runs or again and len(runs) < 3 and max(runs) < SHORT:
+            start = time.perf_counter()
+            run()
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(median(runs), 3)
 
     # Class loading and code generation are paid here, on the smallest job.
     fixture.documents(spark, sf_dir).limit(1).count()
@@ -47,10 +56,10 @@ def main() -> None:
     # The stored tables the later queries read are timed on their own.
     timed("store_words", lambda: fixture.stored_words(spark, sf_dir))
     timed("store_lexicon", lambda: fixture.lexicon(spark, sf_dir))
-    fixture.stored_forms(spark, sf_dir)
+    timed("stored_forms", lambda: fixture.stored_forms(spark, sf_dir))
     for name in HEADLINE:
         run = queries()[name]
-        timed(name, lambda: run(spark, sf_dir).write.format("noop").mode("overwrite").save())
+        timed(name, lambda: run(spark, sf_dir).write.format("noop").mode("overwrite").save(), again=True)
 
     print(json.dumps({
         "metric": "headline queries, total wall time",

@@ -17,12 +17,18 @@ from lexloom.operators.lookup import number_sorted
 from lexloom.operators.words import count_words
 from lexloom.plans.build import build_lexicon
 from lexloom.sources.store import Lexicon
-from lexloom.storage import keep, new_folder, spread
+from lexloom.storage import keep, new_folder
 
 # Neighbour thresholds that suit the size of the test tables.
 AUTO, MINIMUM = 20, 2
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer input splits than the session has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
 

@@ -43,16 +43,44 @@ def _meet(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
     return rows.join(table, on)
 
 
-def _substitution_counts(flagged: DataFrame) -> DataFrame:
+class _Lengths:
+    """How many forms, and accepted forms, have each length.
+
+    A form makes keys only if some form of the fitting length can answer them. So a junk token
+    of a million letters, which has no accepted form near its length, makes none.
+    """
+
+    def __init__(self, flagged: DataFrame):
+        self.counts = keep(flagged.groupBy(F.length("form").alias("size")).agg(
+            F.count("*").alias("_forms"), F.count_if("accepted").alias("_accepted")), "lengths")
+
+    def having(self, rows: DataFrame, shift: int, enough: Column) -> DataFrame:
+        """Rows for which ``enough`` holds of the lengths ``shift`` letters above theirs."""
+        table = self.counts.select((F.col("size") - shift).alias("_size"), "_forms", "_accepted")
+        met = _meet(rows.withColumn("_size", F.length("form")), table, "_size")
+        return met.where(enough).select(rows.columns)
+
+    def with_accepted(self, rows: DataFrame, shift: int) -> DataFrame:
+        """Rows (``form, accepted``) with an accepted other form of the fitting length."""
+        own = F.col("accepted").cast("int") if shift == 0 else F.lit(0)
+        return self.having(rows, shift, F.col("_accepted") - own > 0)
+
+    def asked(self, rows: DataFrame, shift: int) -> DataFrame:
+        """Rows that a form of the fitting length may ask for, itself not counted."""
+        return self.having(rows, shift, F.col("_forms") > (1 if shift == 0 else 0))
+
+
+def _substitution_counts(flagged: DataFrame, lengths: _Lengths) -> DataFrame:
     """(form, n) rows that add up to the accepted forms one substitution away."""
     pattern = F.explode(wildcard_patterns(F.col("form"))).alias("pattern")
-    accepted = flagged.where("accepted")
+    accepted = lengths.asked(flagged.where("accepted"), 0)
     held = keep(accepted.select(pattern).groupBy("pattern").agg(F.count("*").alias("n")), "patterns")
-    found = _meet(flagged.select("form", pattern), held, "pattern").select("form", "n")
+    asking = lengths.with_accepted(flagged, 0)
+    found = _meet(asking.select("form", pattern), held, "pattern").select("form", "n")
     # An accepted form meets itself once per letter; take that off again.
-    own = flagged.select("form", F.when(F.col("accepted"), -F.length("form")).otherwise(F.lit(0))
-                         .cast("long").alias("n"))
-    return found.unionByName(own)
+    own = asking.where("accepted").select("form", (-F.length("form")).cast("long").alias("n"))
+    none = flagged.select("form", F.lit(0).cast("long").alias("n"))
+    return found.unionByName(own).unionByName(none)
 
 
 def _keyed_counts(rows: DataFrame, key: Column, table: DataFrame) -> DataFrame:
@@ -62,11 +90,12 @@ def _keyed_counts(rows: DataFrame, key: Column, table: DataFrame) -> DataFrame:
     return _meet(keys, targets, "key").select("form", F.lit(1).cast("long").alias("n"))
 
 
-def _insertion_counts(flagged: DataFrame) -> DataFrame:
+def _insertion_counts(flagged: DataFrame, lengths: _Lengths) -> DataFrame:
     """(form, n) rows: one for each accepted form that is this form plus a letter."""
-    longer = flagged.where("accepted").select(F.explode(deletions(F.col("form"))).alias("key"))
+    longer = lengths.asked(flagged.where("accepted"), -1).select(
+        F.explode(deletions(F.col("form"))).alias("key"))
     sums = keep(longer.groupBy("key").agg(F.count("*").alias("n")), "insertions")
-    keyed = flagged.select("form", match_key(F.col("form")).alias("key"))
+    keyed = lengths.with_accepted(flagged, 1).select("form", match_key(F.col("form")).alias("key"))
     return _meet(keyed, sums, "key").select("form", "n")
 
 
@@ -75,21 +104,23 @@ def hamming_hood(flagged: DataFrame, transpositions: bool = False) -> DataFrame:
 
     With ``transpositions`` a swap of two adjacent letters counts as one step too.
     """
-    counts = _substitution_counts(flagged)
+    lengths = _Lengths(flagged)
+    counts = _substitution_counts(flagged, lengths)
     if transpositions:
-        counts = counts.unionByName(
-            _keyed_counts(flagged, swaps(F.col("form")), flagged.where("accepted")))
+        counts = counts.unionByName(_keyed_counts(
+            lengths.with_accepted(flagged, 0), swaps(F.col("form")), flagged.where("accepted")))
     return counts.groupBy("form").agg(F.sum("n").alias("hood"))
 
 
 def edit1_counts(flagged: DataFrame, transpositions: bool = False) -> DataFrame:
     """(form, neighbours): accepted other forms within edit distance one."""
-    accepted = flagged.where("accepted")
-    counts = (_substitution_counts(flagged)
-              .unionByName(_keyed_counts(flagged, deletions(F.col("form")), accepted))
-              .unionByName(_insertion_counts(flagged)))
+    accepted, lengths = flagged.where("accepted"), _Lengths(flagged)
+    counts = (_substitution_counts(flagged, lengths)
+              .unionByName(_keyed_counts(lengths.with_accepted(flagged, -1), deletions(F.col("form")), accepted))
+              .unionByName(_insertion_counts(flagged, lengths)))
     if transpositions:
-        counts = counts.unionByName(_keyed_counts(flagged, swaps(F.col("form")), accepted))
+        counts = counts.unionByName(_keyed_counts(
+            lengths.with_accepted(flagged, 0), swaps(F.col("form")), accepted))
     return counts.groupBy("form").agg(F.sum("n").alias("neighbours"))
 
 
@@ -98,23 +129,26 @@ def edit1_neighbours(flagged: DataFrame, transpositions: bool = False) -> DataFr
 
     Substitutions, deletions, insertions and swaps cannot give the same pair twice.
     """
-    form = F.col("form")
-    forms = flagged.select("form")
+    form, lengths = F.col("form"), _Lengths(flagged)
+    accepted = flagged.where("accepted")
     targets = keep(flagged.where("accepted").select(form.alias("neighbour"), "frequency"), "targets")
     neighbour = F.col("neighbour")
 
-    pattern = keep(targets.select("neighbour", "frequency",
-                                  F.explode(wildcard_patterns(neighbour)).alias("key")), "patterns")
-    pairs = (_meet(forms.select("form", F.explode(wildcard_patterns(form)).alias("key")), pattern, "key")
-             .where(form != neighbour))
+    def answering(shift: int, keys) -> DataFrame:
+        rows = lengths.asked(accepted, shift).select(form.alias("neighbour"), "frequency")
+        return keep(rows.select("neighbour", "frequency", F.explode(keys(neighbour)).alias("key")), "keys")
+
+    asking = lengths.with_accepted(flagged, 0)
+    pairs = (_meet(asking.select("form", F.explode(wildcard_patterns(form)).alias("key")),
+                   answering(0, wildcard_patterns), "key").where(form != neighbour))
     whole = targets.withColumn("key", match_key(neighbour))
     pairs = pairs.unionByName(
-        _meet(forms.select("form", F.explode(deletions(form)).alias("key")), whole, "key"))
-    shorter = keep(targets.select("neighbour", "frequency",
-                                  F.explode(deletions(neighbour)).alias("key")), "insertions")
+        _meet(lengths.with_accepted(flagged, -1).select("form", F.explode(deletions(form)).alias("key")),
+              whole, "key"))
     pairs = pairs.unionByName(
-        _meet(forms.select("form", match_key(form).alias("key")), shorter, "key"))
+        _meet(lengths.with_accepted(flagged, 1).select("form", match_key(form).alias("key")),
+              answering(-1, deletions), "key"))
     if transpositions:
         pairs = pairs.unionByName(
-            _meet(forms.select("form", F.explode(swaps(form)).alias("key")), whole, "key"))
+            _meet(asking.select("form", F.explode(swaps(form)).alias("key")), whole, "key"))
     return pairs.select("form", "neighbour", "frequency")

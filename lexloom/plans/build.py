@@ -65,10 +65,11 @@ def build_lexicon(words: DataFrame, path: str, langcode: str = "fi",
 
     # Frequent words first: the usual frequency filters skip files and row groups.
     order = [F.col("frequencyx").desc(), F.col("form")]
-    rows = wide_rows(words, forms, shares, lemma_rows, init, fin, means).repartitionByRange(*order)
+    rows = wide_rows(words, forms, shares, lemma_rows, init, fin, means)
     rows = lookup_join(rows, numbered.drop("featid"), ["feats", "pos"], "inner")
-    wide = store(rows.select(*BASE_COLUMNS, *WIDE_COLUMNS, *features.values())
-                 .sortWithinPartitions(*order), "wide")
+    # Kept first: finding the range bounds reads its input a second time.
+    rows = keep(rows.select(*BASE_COLUMNS, *WIDE_COLUMNS, *features.values()), "rows")
+    wide = store(rows.repartitionByRange(*order).sortWithinPartitions(*order), "wide")
     store(wide.select(*BASE_COLUMNS, *DERIVED_COLUMNS), "lexicon")
     store(corpus_totals(words, lemma_rows, init, fin, pairs), "totals")
     store(metadata_table(spark, langcode), "metadata")

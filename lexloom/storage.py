@@ -4,29 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session, as in tests, may fall back to a temporary folder.
+    Only a local session without that setting, as in tests, gets a temporary folder.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lexloom-")
-    context.setCheckpointDir(folder)
-    return folder
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="lexloom-")
+    return _local[context.applicationId]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go to a folder that is deleted at the end.
+
+    Store the results before: they read these tables.
+    """
+    folder = f"{shared_folder(spark)}/lexloom-scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, name: str = "table") -> str:
-    """A fresh path inside the shared folder."""
-    return f"{shared_folder(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
+    """A fresh path inside the scratch folder, or else the shared one."""
+    return f"{_scratch.get() or shared_folder(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
@@ -40,14 +63,3 @@ def keep(df: DataFrame, name: str = "table", path: str | None = None) -> DataFra
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer input splits than the session has cores.
-
-    A large input has more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.words import valid_word
 from lexloom.operators import grams, lookup, neighbours, words
-from lexloom.storage import keep, shared_folder
+from lexloom.storage import keep, scratch, shared_folder
 
 EXAMPLE = {"talo": 1, "valo": 5, "voi": 10, "koira": 3, "voida": 1, "voilla": 2, "oivoi": 1}
 
@@ -113,6 +113,32 @@ def test_neighbours_of_very_long_forms(spark):
         f: sum(1 for a, _ in pairs if a == f) for f in forms}
 
 
+def test_junk_of_a_million_letters(spark):
+    """It has no accepted form near its length, so it makes no keys."""
+    forms = [("a" * 1_000_000, False), ("talo", True), ("tali", True), ("tal", False), ("talon", False)]
+    flagged = keep(spark.createDataFrame([(f, 1, a) for f, a in forms],
+                                         "form string, frequency long, accepted boolean"))
+    junk = forms[0][0]
+    assert as_dict(neighbours.hamming_hood(flagged, True)) == {
+        junk: 0, "talo": 1, "tali": 1, "tal": 0, "talon": 0}
+    assert as_dict(neighbours.edit1_counts(flagged, True)) == {
+        junk: 0, "talo": 1, "tali": 1, "tal": 2, "talon": 1}
+    assert {(r.form, r.neighbour) for r in neighbours.edit1_neighbours(flagged).collect()} == {
+        ("talo", "tali"), ("tali", "talo"), ("tal", "talo"), ("tal", "tali"), ("talon", "talo")}
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    import os
+
+    with scratch(spark) as folder:
+        kept = keep(spark.range(3).toDF("id"))
+        assert kept.count() == 3
+        local = folder.removeprefix("file:").replace("//", "/")
+        assert os.path.isdir(local) and len(os.listdir(local)) == 1
+    assert not os.path.exists(local)
+    assert not keep(spark.range(1).toDF("id")).inputFiles()[0].startswith(folder)
+
+
 def test_broadcast_check(spark):
     table = keep(spark.range(50).select("id", F.repeat(F.lit("x"), F.lit(1000)).alias("text")))
     assert lookup.fits_broadcast(table)

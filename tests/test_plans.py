@@ -19,7 +19,7 @@ def test_search_is_one_pruned_scan(spark, lexicon):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     text = plan(s.search(lexicon, [("len", ">=", 6), ("start", "=", "th"), ("pos", "=", "noun"),
                                    ("frequency", ">", 10), ("relfreq", "<", 1e5)],
-                         lemmas=False, grams=False))
+                         limit=100, lemmas=False, grams=False))
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "TakeOrderedAndProject" in text
     assert "Exchange" not in text and "Join" not in text

@@ -151,3 +151,43 @@ def test_whole_number_bounds(lexicon, operator, number):
     from lexloom.functions.predicates import numeric
 
     assert lexicon["forms"].where(numeric(F.col("hood"), operator, float(number))).count() == expected
+
+
+def test_nothing_is_cut_unasked(spark, lexicon):
+    everything = [("frequency", ">", 0)]
+    n = s.matching(lexicon, everything).count()
+    assert n > 10_000 and s.search(lexicon, everything).count() == n
+    groups = s.aggregate(lexicon, ["lemma"], "count")
+    assert groups.count() == s.matching(lexicon, everything).select("lemma").distinct().count() > 20
+    forms = lexicon["forms"].select(F.col("form").alias("item"), F.lit(1).alias("position"))
+    assert s.search_wordlist(lexicon, forms, "form").count() == n
+
+
+def test_refilter_of_partial_results(lexicon):
+    """Columns a result lacks are named in one error; relative ones stand in for counts."""
+    rows = s.search(lexicon, [("frequency", ">", 2)], lemmas=False, grams=False)
+    with pytest.raises(ValueError) as error:
+        s.refilter(lexicon, rows, [("lemmafreq", ">", 1), ("bigramfreq", "<", 3), ("len", ">", 1)])
+    assert all(f"'{key}'" in str(error.value) for key in ("lemmafreq", "bigramfreq"))
+    assert "'len'" not in str(error.value)
+    full = s.search(lexicon, [("frequency", ">", 2)])
+    relative = s.relative_frequencies(lexicon, full, drop=True)
+    conditions = [("frequency", ">", 5), ("relbigramfreq", ">", 100), ("top", "=", 1)]
+    key = ["lemma", "form", "pos", "feats"]
+    narrowed = s.refilter(lexicon, relative, conditions).select(key).collect()
+    assert sorted(narrowed) == sorted(s.refilter(lexicon, full, conditions).select(key).collect())
+
+
+@pytest.mark.parametrize("value", ["nan", "inf", float("-inf"), 10 ** 400, None])
+def test_numbers_that_are_none(lexicon, value):
+    with pytest.raises(ValueError, match="not a number"):
+        s.matching(lexicon, [("frequency", "<", value)])
+    with pytest.raises(ValueError, match="not a number"):
+        s.refilter(lexicon, s.matching(lexicon, [("len", ">", 0)]), [("top", "=", value)])
+
+
+def test_numbers_beyond_the_column(lexicon):
+    count = lambda *condition: s.matching(lexicon, [condition]).count()
+    n = count("frequency", ">", 0)
+    assert [count("frequency", op, 1e20) for op in ("<", "<=", "!=", ">", ">=", "=")] == [n, n, n, 0, 0, 0]
+    assert [count("frequency", op, -1e20) for op in ("<", ">")] == [0, n]
