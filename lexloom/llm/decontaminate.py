@@ -187,11 +187,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None
     Rows go by their text, so rows with a null or repeated id are judged by what they say.
     """
     work = work or Workspace(docs.sparkSession, "clean")
-    keyed = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = contaminated(keyed.select(F.col("_node").alias("doc_id"), "text"), items, work)
-    bad = work.keep(found.select(F.col("doc_id").alias("_node")).distinct(), "bad")
+    keyed = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = contaminated(keyed.select(F.col("__node").alias("doc_id"), "text"), items, work)
+    bad = work.keep(found.select(F.col("doc_id").alias("__node")).distinct(), "bad")
     few = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(bad) if few else bad, "_node", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(bad) if few else bad, "__node", "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,23 +187,23 @@ def drop_near_duplicates(docs: DataFrame, work: Workspace | None = None,
     the smallest text number). Documents without words have fingerprint zero and are one group.
     """
     work = work or Workspace(docs.sparkSession, "distinct")
-    content = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_content")
+    content = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__content")
     prints = work.keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), content)
-                       .mapInArrow(_fingerprints, "doc_id long, fp long, _content long"), "prints")
+                       .mapInArrow(_fingerprints, "doc_id long, fp long, __content long"), "prints")
     classes = work.keep(prints.select("fp").distinct(), "classes")
     roots = components(near_links(classes, work, distance), work)
     # A row's place: ids before null ids, then the text's number.
-    place = F.struct(F.col("doc_id").isNull().alias("_none"),
-                     F.coalesce("doc_id", F.lit(0)).alias("_id"), "_content")
+    place = F.struct(F.col("doc_id").isNull().alias("__none"),
+                     F.coalesce("doc_id", F.lit(0)).alias("__id"), "__content")
     firsts = prints.groupBy("fp").agg(F.min(place).alias("first"))
     kept = (firsts.join(roots, F.col("fp") == F.col("node"), "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
             .select("first.*").distinct())
     kept = work.keep(kept, "kept")
-    rows = docs.withColumns({"_none": F.col("doc_id").isNull(),
-                             "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-                             "_content": content})
-    keys = ["_none", "_id", "_content"]
+    rows = docs.withColumns({"__none": F.col("doc_id").isNull(),
+                             "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+                             "__content": content})
+    keys = ["__none", "__id", "__content"]
     # Only rows that repeat both id and text meet each other to leave one of them.
     repeated = work.keep(rows.groupBy(*keys).count().where("count > 1").select(*keys), "repeated")
     if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
