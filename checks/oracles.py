@@ -245,22 +245,43 @@ SELECT w.lemma, w.form, w.pos, w.feats, w.frequency, w.frequencyx, 1 - lf.formpc
 FROM words w JOIN lemmaforms lf ON w.lemma = lf.lemma AND w.form = lf.form AND w.posx = lf.pos"""
 
 
-TABLE_SIZES = f"""
-SELECT 'lexicon' AS name, count(*) AS rows FROM words
-UNION ALL SELECT 'features', count(*) FROM (SELECT DISTINCT feats, pos FROM words)
-UNION ALL SELECT 'feature_values', count(*) FROM (
-  SELECT DISTINCT feats, pos, feature, unnest(string_split(value, ',')) AS value FROM (
-    SELECT feats, pos, 'derivation' AS feature, {feature('Derivation')} AS value FROM words
-    UNION ALL SELECT feats, pos, 'clitic', {feature('Clitic')} FROM words
-    UNION ALL SELECT feats, pos, 'nouncase', {feature('Case')} FROM words) WHERE value <> '_')
-UNION ALL SELECT 'lemmaforms', count(*) FROM lemmaforms
-UNION ALL SELECT 'forms', count(*) FROM forms
-UNION ALL SELECT 'lemmas', count(*) FROM lemmas
-UNION ALL SELECT 'init_grams', count(*) FROM init
-UNION ALL SELECT 'fin_grams', count(*) FROM fin
-UNION ALL SELECT 'bigrams', count(*) FROM bi
-UNION ALL SELECT 'word_bigrams', count(*) FROM wordbi
-UNION ALL SELECT 'totals', 5 UNION ALL SELECT 'metadata', 2"""
+def _cells(name: str, key: str, columns: str, source: str, doubles: str = "") -> str:
+    """A table in long form; doubles in billionths."""
+    parts = []
+    for column in columns.split():
+        value = f"CAST(round({column} * 1e9) AS BIGINT)" if column in doubles.split() else column
+        parts.append(f"SELECT '{name}' AS name, concat_ws('|', {key}) AS \"key\", '{column}' AS \"column\", "
+                     f"CAST({value} AS VARCHAR) AS value FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+IDS = f""",
+ids AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY feats, pos) AS featid
+  FROM (SELECT DISTINCT feats, pos, {FEATURES} FROM words)),
+single AS MATERIALIZED (
+  SELECT featid, feature, unnest(string_split(joined, ',')) AS value FROM (
+    SELECT featid, 'derivation' AS feature, derivation AS joined FROM ids
+    UNION ALL SELECT featid, 'clitic', clitic FROM ids
+    UNION ALL SELECT featid, 'nouncase', nouncase FROM ids) WHERE joined <> '_'),
+named AS MATERIALIZED (SELECT name, total FROM (UNPIVOT totals ON COLUMNS(*) INTO NAME name VALUE total)),
+meta AS (SELECT * FROM (VALUES ('language', 'Finnish'), ('langcode', 'fi')) t("key", value))"""
+
+TABLE_CELLS = " UNION ALL ".join([
+    _cells("lexicon", "lemma, form, pos, feats",
+           "lemma form pos posx feats len frequency frequencyx hood ambform", "wide", "ambform"),
+    _cells("features", "feats, pos", "featid feats pos " + " ".join(FI.values()), "ids"),
+    _cells("feature_values", "featid, feature, value", "featid feature value", "single"),
+    _cells("lemmaforms", "lemma, form, pos", "lemma form pos frequency formsum formpct", "lemmaforms", "formpct"),
+    _cells("forms", "form", "form frequency numforms hood", "(SELECT f.*, h.hood FROM forms f JOIN hood h USING (form))"),
+    _cells("lemmas", "lemma, pos", "lemma lemmac pos lemmafreq lemmalen comparts amblemma", "lemmas", "amblemma"),
+    _cells("init_grams", "gram", "gram frequency", "init"),
+    _cells("fin_grams", "gram", "gram frequency", "fin"),
+    _cells("bigrams", "gram", "gram frequency", "bi"),
+    _cells("word_bigrams", "form", "form frequency", "wordbi"),
+    _cells("totals", "name", "name total", "(SELECT name, total FROM named)"),
+    _cells("metadata", '"key"', "key value", "meta"),
+])
 
 CORE_WORDS = ["lemma", "form", "pos", "feats", "frequency"]
 TOKEN_ROWS = (f"SELECT CAST(doc_id // {PER_FILE} AS INTEGER) AS part, doc_id % {PER_FILE} + 1 AS sent_id, "
@@ -450,7 +471,7 @@ UNION ALL SELECT 'length', total, CAST(c AS BIGINT), CAST(total - c AS BIGINT) F
         "prune_rebuilt": "WITH " + wide("frequency >= 2 AND pos <> 'PRON' AND length(form) <= 11") + " SELECT * FROM wide",
         "merge_rebuilt": f"{everything} SELECT * FROM wide",
         "export_roundtrip": f"{everything} {matches('true')}",
-        "export_all_tables": f"{everything} {TABLE_SIZES}",
+        "export_all_tables": f"{everything}{IDS} {TABLE_CELLS}",
         "combined_export": f"""{everything}
 SELECT DISTINCT lemma, m.lemmafreq,
   round(m.lemmafreq * CAST(1e9 AS DOUBLE) / t.lemmafreq) / CAST(1000 AS DOUBLE) AS rellemmafreq, lemmalen,
@@ -459,7 +480,11 @@ SELECT DISTINCT lemma, m.lemmafreq,
   round(m.frequency * CAST(1e9 AS DOUBLE) / t.frequency) / CAST(1000 AS DOUBLE) AS relfrequency, feats,
   m.* EXCLUDE (lemma, lemmafreq, lemmalen, amblemma, form, pos, len, hood, ambform, frequency, feats)
 FROM ({matches('frequencyx > 1')}) m, totals t ORDER BY m.frequency DESC, lemma, form, pos, feats LIMIT 2000""",
-        "release_export": f"""{everything} {TABLE_SIZES}
-UNION ALL SELECT 'combined', count(*) FROM (SELECT DISTINCT lemma, form, posx, feats FROM words)
-UNION ALL SELECT 'statistics', count(*) FROM words""",
+        "release_export": f"""{everything}{IDS} {TABLE_CELLS}
+UNION ALL SELECT 'combined', '', 'rows', CAST(count(*) AS VARCHAR)
+FROM (SELECT DISTINCT lemma, form, posx, feats FROM words)
+UNION ALL SELECT 'statistics', 'documents', c, v FROM (
+  SELECT unnest(['source', 'language', 'langcode', 'rows', 'frequency']) AS c,
+         unnest(['documents', 'Finnish', 'fi', CAST(count(*) AS VARCHAR),
+                 CAST(sum(frequency) AS VARCHAR)]) AS v FROM words)""",
     }

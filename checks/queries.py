@@ -545,7 +545,7 @@ def export_all_tables(spark, sf_dir):
     lexicon = fx.lexicon(spark, sf_dir)
     folder = new_folder(spark, "export")
     export.export_tables(lexicon, folder)
-    return _table_sizes(spark, lexicon, folder)
+    return _table_contents(spark, lexicon, folder)
 
 
 @query
@@ -563,19 +563,36 @@ def release_export(spark, sf_dir):
     export.export_release(lexicon, folder, "documents")
     combined = export.read_text(spark, f"{folder}/tables/combined", export.combined_rows(lexicon).schema)
     stats = spark.read.json(f"{folder}/statistics")
-    return (_table_sizes(spark, lexicon, f"{folder}/tables")
-            .unionByName(_size(combined, "combined"))
-            .unionByName(stats.select(F.lit("statistics").alias("name"), F.col("rows").cast("long"))))
+    sizes = combined.distinct().agg(F.count("*").alias("rows")).select(
+        F.lit("combined").alias("name"), F.lit("").alias("key"), F.lit("rows").alias("column"),
+        F.col("rows").cast("string").alias("value"))
+    return (_table_contents(spark, lexicon, f"{folder}/tables").unionByName(sizes)
+            .unionByName(_contents(stats, "statistics", ["source"])))
 
 
-def _size(df: DataFrame, name: str) -> DataFrame:
-    # Distinct rows read back in full, so a broken line shows up as a wrong count.
-    return df.distinct().agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+# Columns that name a row of each table.
+KEYS = {"lexicon": ["lemma", "form", "pos", "feats"], "features": ["feats", "pos"],
+        "feature_values": ["featid", "feature", "value"], "lemmaforms": ["lemma", "form", "pos"],
+        "forms": ["form"], "lemmas": ["lemma", "pos"], "init_grams": ["gram"], "fin_grams": ["gram"],
+        "bigrams": ["gram"], "word_bigrams": ["form"], "totals": ["name"], "metadata": ["key"]}
 
 
-def _table_sizes(spark: SparkSession, lexicon: Lexicon, folder: str) -> DataFrame:
+def _contents(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """A table in long form: its name, the row's key, the column and its value as text."""
+    def text(column: str, kind: str):
+        value = F.round(F.col(column) * 1e9).cast("long") if kind == "double" else F.col(column)
+        return F.struct(F.lit(column).alias("column"), value.cast("string").alias("value"))
+
+    cells = F.array(*[text(c, kind) for c, kind in df.dtypes if c != "primary"])
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in keys]).alias("key")
+    return df.select(F.lit(name).alias("name"), key, F.inline(cells))
+
+
+def _table_contents(spark: SparkSession, lexicon: Lexicon, folder: str) -> DataFrame:
+    """All exported tables, read back."""
     out = None
     for name in EXPORTED:
         table = export.read_text(spark, f"{folder}/{name}", lexicon[name].schema)
-        out = _size(table, name) if out is None else out.unionByName(_size(table, name))
+        rows = _contents(table, name, KEYS[name])
+        out = rows if out is None else out.unionByName(rows)
     return out
