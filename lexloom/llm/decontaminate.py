@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexloom.llm.store import Workspace, table
 
@@ -100,9 +100,9 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
     ``docs`` has ``doc_id, text``, ``items`` has ``item_id, text``. Both become templates; the
     windows of documents meet those of the benchmark in a hash join, and a document that holds at
     least ``coverage`` of an item's distinct windows is a candidate. Then the slots are checked:
-    each value that the item has in its placeholders must have one value in the document
-    throughout. If all values are those of the item, ``kind`` is ``verbatim``, else ``changed``;
-    candidates that fill a slot in two ways are no copies of the question and are left out
+    each value that the item has in its placeholders must have one value throughout one
+    occurrence that itself holds ``coverage`` of the windows. If all values are those of the item, ``kind`` is ``verbatim``, else ``changed``;
+    candidates that fill a slot in two ways in each occurrence are no copies of the question and are left out
     (unless at least ``coverage`` of the windows hold with the item's own values).
 
     Null and empty texts hold nothing, and null, empty or very short items are not looked for.
@@ -153,22 +153,45 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
                       (F.col("hit.at") + F.col("step")).alias("at")))
     filled = work.keep(places.join(doc_slots, ["node", "pos"]).join(
         item_slots, ["item_id", "at", "kind"]), "slots")
-    per_value = filled.groupBy("node", "item_id", "kind", "item_value").agg(
+    # A document may hold an item more than once, each time filled in its own way. So slots are
+    # judged per occurrence: one alignment of the two texts, a run of neighbouring alignments
+    # (a copy with words put in or left out), or the whole document.
+    mine = hits.join(found.select("node", "item_id"), ["node", "item_id"]).select(
+        "node", "item_id", "hash", F.struct("pos", "at").alias("hit"), (F.col("pos") - F.col("at")).alias("shift"))
+    in_order = Window.partitionBy("node", "item_id").orderBy("shift")
+    shifts = (mine.select("node", "item_id", "shift").distinct()
+              .withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(in_order) > WINDOW, F.lit(True)))
+              .withColumn("run", F.sum(F.col("new").cast("int")).over(in_order)))
+    seen = shifts.select("node", "item_id", "shift", F.explode(F.array(
+        F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("part")),
+        F.struct(F.lit(1).alias("level"), F.col("run").cast("long").alias("part")),
+        F.struct(F.lit(2).alias("level"), F.col("shift").cast("long").alias("part")))).alias("place"))
+    seen = work.keep(seen, "occurrences")
+    key = ["node", "item_id", "place"]
+    placed = filled.withColumn("shift", F.col("hit.pos") - F.col("hit.at")).join(seen, ["node", "item_id", "shift"])
+    per_value = placed.groupBy(*key, "kind", "item_value").agg(
         F.count_distinct("doc_value").alias("ways"),
         F.min((F.col("doc_value") == F.col("item_value")).cast("int")).alias("same"))
-    slots = per_value.groupBy("node", "item_id").agg(
+    slots = per_value.groupBy(*key).agg(
         F.count("*").alias("slots"), F.sum("same").alias("same_slots"), F.max("ways").alias("ways"))
     # Windows that hold with the item's own values, for texts that also hold other fillings.
-    foreign = filled.where("doc_value != item_value").select("node", "item_id", "hit").distinct()
-    own = (hits.join(found.select("node", "item_id"), ["node", "item_id"])
-           .select("node", "item_id", "hash", F.struct("pos", "at").alias("hit"))
-           .join(foreign, ["node", "item_id", "hit"], "left_anti")
-           .groupBy("node", "item_id").agg(F.count_distinct("hash").alias("own")))
-    judged = (found.join(slots, ["node", "item_id"], "left").join(own, ["node", "item_id"], "left")
-              .na.fill(0, ["slots", "same_slots", "own"]).na.fill(1, ["ways"]))
+    foreign = filled.where("doc_value != item_value").select("node", "item_id", "hit").distinct().withColumn(
+        "foreign", F.lit(True))
+    totals = (mine.join(foreign, ["node", "item_id", "hit"], "left").join(seen, ["node", "item_id", "shift"])
+              .groupBy(*key).agg(
+                  F.count_distinct("hash").alias("here"),
+                  F.count_distinct(F.when(F.col("foreign").isNull(), F.col("hash"))).alias("own")))
+    judged = (found.join(totals, ["node", "item_id"]).join(slots, key, "left")
+              .na.fill(0, ["slots", "same_slots"]).na.fill(1, ["ways"])
+              .where(F.col("here") >= coverage * F.col("windows")))
     verbatim = (F.col("slots") == F.col("same_slots")) | (F.col("own") >= coverage * F.col("windows"))
-    judged = work.keep(judged.where(verbatim | (F.col("ways") == 1)).withColumn(
-        "kind", F.when(verbatim, "verbatim").otherwise("changed")), "judged")
+    judged = judged.where(verbatim | (F.col("ways") == 1)).withColumn(
+        "kind", F.when(verbatim, "verbatim").otherwise("changed"))
+    # One row for a text and an item: verbatim before changed, the widest occurrence first.
+    judged = judged.groupBy("node", "item_id").agg(F.max_by(
+        F.struct("covered", "windows", "same_slots", "slots", "kind"),
+        F.struct(F.col("kind") == "verbatim", -F.col("place.level"), "here", "place.part")).alias("best"))
+    judged = work.keep(judged.select("node", "item_id", "best.*"), "judged")
     ids = work.keep(chosen.select("doc_id", "node"), "ids")
     return ids.join(judged, "node").select("doc_id", "item_id", "covered", "windows",
                                            "same_slots", "slots", "kind")

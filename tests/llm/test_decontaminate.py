@@ -43,6 +43,19 @@ def test_changed_questions(spark, docs, work):
     assert kept.columns == docs(rows).columns
 
 
+def test_changed_twice(spark, docs, work):
+    """Two copies with other fillings, and a stray window of another filling, hide no copy."""
+    rng = random.Random(5)
+    one = ITEM.replace("Springfield", "Berlin").replace("60", "70").replace("9", "7")
+    two = ITEM.replace("Springfield", "Hamburg").replace("60", "80").replace("9", "8")
+    stray = "a train leaves Paris at 4 and goes 5 km to Lyon"
+    longer = [t.replace("waits", "really waits") for t in (one, two)]
+    rows = [(1, f"{one} {prose(rng, 40)}. {two}"), (2, f"{one} {prose(rng, 40)} {stray} {prose(rng, 40)}"),
+            (3, f"{longer[0]} {prose(rng, 40)}. {longer[1]}"), (4, f"{prose(rng, 40)} {stray}")]
+    got = found(decontaminate.contaminated(docs(rows), items(spark, [(10, ITEM)]), work))
+    assert got == {(1, 10): "changed", (2, 10): "changed", (3, 10): "changed"}
+
+
 def test_short_items(spark, docs, work):
     rows = [(1, "we ask what is the capital of France today"), (2, "what is the")]
     bench = items(spark, [(1, "What is the capital of France?"), (2, "of France")])
