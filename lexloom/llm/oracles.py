@@ -141,6 +141,46 @@ select page_id, archive, cast(start as bigint) as "offset", length,
 from damage
 """
 
+# Fixed values of op11_vector_codes: 8 parts, 16 entries, floor(4096 x).
+_CODES = """
+with v as (
+  select row_number() over (order by vec_id nulls last, embedding) as n, vec_id, label,
+         list_transform(embedding, lambda x: floor(4096 * cast(x as double))) as e
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (
+  select n, part, list_slice(e, part * len(e) // 8 + 1, (part + 1) * len(e) // 8) as x
+  from v, (select unnest(range(8)) as part)),
+b0 as (select part, n - 1 as k, x from p where n <= 16),
+{rounds}
+final as (select n, string_agg(printf('%02x', k), '' order by part) as code, cast(sum(d) as bigint) as error
+          from a6 group by n),
+said as (select sha256(string_agg(cast(cast(y as bigint) as varchar), ',' order by part, k, j)) as codebooks_sha256
+         from (select part, k, unnest(x) as y, generate_subscripts(x, 1) as j from b6))
+select vec_id, code, error,
+       cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from final join v using (n), said
+"""
+
+
+def _code_round(i: int) -> str:
+    """Assignment ``a`` to codebook ``b`` number i and, but for the last, the next codebook."""
+    step = f"""a{i} as materialized (
+  select n, part, x, best.d as d, best.k as k from (
+    select n, p.part, p.x, min({{'d': list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x)
+      + list_inner_product(b.x, b.x), 'k': b.k}}) as best
+    from p join b{i} b on p.part = b.part group by n, p.part, p.x)),"""
+    if i == 6:
+        return step
+    return step + f"""
+m{i} as (select part, k, j, sum(cast(y as hugeint)) as s, count(*) as c
+  from (select part, k, unnest(x) as y, generate_subscripts(x, 1) as j from a{i}) group by all),
+n{i} as (select part, k, list(cast((s - ((s % c) + c) % c) // c as double) order by j) as x
+  from m{i} group by part, k),
+b{i + 1} as materialized (
+  select part, k, coalesce(n{i}.x, b{i}.x) as x from b{i} left join n{i} using (part, k)),"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -148,4 +188,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk": _TOPK,
         "op5_chat_format": _CHAT,
         "op8_warc_fixity": _WARC,
+        "op11_vector_codes": _CODES.replace("{rounds}", "\n".join(map(_code_round, range(7)))),
     }

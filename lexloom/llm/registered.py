@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import (chat, decontaminate, fixity, mixing, oracles, passages, quality, simhash,
-                         tokencount, topk, toxicity)
+from lexloom.llm import (chat, codes, decontaminate, fixity, mixing, oracles, passages, quality,
+                         secrets, simhash, tokencount, topk, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_fixity": fixity.op8_warc_fixity,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
+        "op11_vector_codes": codes.op11_vector_codes,
+        "op12_secrets": secrets.op12_secrets,
     }
 
 

@@ -29,16 +29,20 @@ class Workspace:
         """A path inside the folder that nothing else uses."""
         return f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
         """Write a DataFrame and read it back."""
-        path, schema = self.path(name), df.schema
+        path, schema = path or self.path(name), df.schema
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def close(self) -> None:
         """Delete the folder."""
+        self.drop(self.folder)
+
+    def drop(self, path: str) -> None:
+        """Delete a table that nothing reads any more."""
         context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
