@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import (chat, codes, decontaminate, fixity, mixing, oracles, passages, quality,
-                         secrets, simhash, tokencount, topk, toxicity)
+from lexloom.llm import (chat, codes, decontaminate, fixity, mixing, oracles, passages, periods,
+                         quality, secrets, simhash, tokencount, topk, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": simhash.op10_simhash,
         "op11_vector_codes": codes.op11_vector_codes,
         "op12_secrets": secrets.op12_secrets,
+        "op13_periods": periods.op13_periods,
     }
 
 
