@@ -27,44 +27,32 @@ def final_trigram(word: Column) -> Column:
     return F.right(word, F.lit(3))
 
 
-# Keys of this length or more are replaced by their digest.
-LONG_KEY = 64
+# Words of this length or more meet on hashes (see ``letterhash``), shorter ones on the keys themselves.
+LONG_WORD = 64
 
 
-def match_key(key: Column) -> Column:
-    """A key to meet other words on; a very long one shrinks to its SHA-256 digest.
-
-    Without this a junk word of n letters would make n keys of n letters each.
-    """
-    return F.when(F.length(key) < LONG_KEY, key).otherwise(F.sha2(key, 256))
-
-
-def _keys(last: Column, size: Column, make) -> Column:
-    """Keys of equal ``size`` made at positions 1 to ``last``."""
-    positions = F.sequence(F.lit(1), last)
-    plain = F.transform(positions, lambda i: make(i))
-    digests = F.transform(positions, lambda i: F.sha2(make(i), 256))
-    return F.when(size < LONG_KEY, plain).otherwise(digests)
+def _keys(last: Column, make) -> Column:
+    """Keys made at positions 1 to ``last``."""
+    return F.transform(F.sequence(F.lit(1), last), lambda i: make(i))
 
 
 def wildcard_patterns(word: Column) -> Column:
-    """Keys of the word with each letter in turn replaced by a wildcard."""
-    size = F.length(word)
-    return _keys(size, size, lambda i: F.overlay(word, F.lit(WILDCARD), i, F.lit(1)))
+    """The word with each letter in turn replaced by a wildcard."""
+    return _keys(F.length(word), lambda i: F.overlay(word, F.lit(WILDCARD), i, F.lit(1)))
 
 
 def deletions(word: Column) -> Column:
-    """Keys of the distinct words left after dropping one letter."""
+    """The distinct words left after dropping one letter."""
     size = F.length(word)
-    return F.array_distinct(_keys(size, size - 1, lambda i: F.concat(
+    return F.array_distinct(_keys(size, lambda i: F.concat(
         F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, size))))
 
 
 def swaps(word: Column) -> Column:
-    """Keys of the distinct other words made by swapping two adjacent letters."""
+    """The distinct other words made by swapping two adjacent letters."""
     size = F.length(word)
-    swapped = _keys(size - 1, size, lambda i: F.concat(
+    swapped = _keys(size - 1, lambda i: F.concat(
         F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)),
         F.substring(word, i, F.lit(1)), F.substring(word, i + 2, size)))
-    other = F.array_remove(F.array_distinct(swapped), match_key(word))
+    other = F.array_remove(F.array_distinct(swapped), word)
     return F.when(size > 1, other).otherwise(F.array().cast("array<string>"))

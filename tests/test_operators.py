@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.functions import letterhash
 from lexloom.functions.words import valid_word
 from lexloom.operators import grams, lookup, neighbours, words
 from lexloom.storage import keep, scratch, shared_folder
@@ -66,7 +68,8 @@ def one_edit(a, b, swap):
         return (swap and len(differ) == 2 and differ[1] == differ[0] + 1
                 and a[differ[0]] == b[differ[1]] and a[differ[1]] == b[differ[0]])
     short, long = sorted((a, b), key=len)
-    return len(long) - len(short) == 1 and any(long[:i] + long[i + 1:] == short for i in range(len(long)))
+    i = next((i for i in range(len(short)) if short[i] != long[i]), len(short))
+    return len(long) - len(short) == 1 and short[i:] == long[i + 1:]
 
 
 @pytest.fixture(scope="module")
@@ -81,10 +84,11 @@ def random_forms(spark):
     return frame, known, dict(rows), accepted
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-@pytest.mark.parametrize("swap", [True, False])
-def test_neighbours(random_forms, monkeypatch, broadcast, swap):
+@pytest.mark.parametrize("broadcast,swap,long_word", [
+    (True, True, 64), (True, False, 64), (False, True, 64), (False, False, 4), (True, True, 4), (True, False, 1)])
+def test_neighbours(random_forms, monkeypatch, broadcast, swap, long_word):
     monkeypatch.setattr(neighbours, "fits_broadcast", lambda table: broadcast)
+    monkeypatch.setattr(neighbours, "LONG_WORD", long_word)  # all or some forms meet on hashes
     frame, known, freqs, accepted = random_forms
     flagged = keep(neighbours.flag_accepted(frame, known, 20, 2))
     assert {r.form for r in flagged.where("accepted").collect()} == accepted
@@ -113,6 +117,51 @@ def test_neighbours_of_very_long_forms(spark):
         f: sum(1 for a, _ in pairs if a == f) for f in forms}
 
 
+def test_colliding_hashes_are_told_apart(random_forms, monkeypatch):
+    frame, known, freqs, accepted = random_forms
+    monkeypatch.setattr(neighbours, "LONG_WORD", 1)
+    real = letterhash.substitution_keys
+    monkeypatch.setattr(letterhash, "substitution_keys", lambda codes: (real(codes)[0], real(codes)[1] % 3))
+    flagged = keep(neighbours.flag_accepted(frame, known, 20, 2))
+    assert as_dict(neighbours.hamming_hood(flagged)) == {
+        f: sum(len(f) == len(g) and one_edit(f, g, False) for g in accepted) for f in freqs}
+
+
+def test_letter_hashes():
+    rng = random.Random(8)
+    key = lambda w: int(letterhash.whole_key(letterhash.letters(w))[0])
+    for _ in range(200):
+        w = "".join(rng.choice("abä\U0001f600") for _ in range(rng.randint(1, 12)))
+        codes = letterhash.letters(w)
+        places, keys = letterhash.deletion_keys(codes)
+        assert [key(w[:i - 1] + w[i:]) for i in places] == keys.tolist()
+        assert len(keys) == len({w[:i] + w[i + 1:] for i in range(len(w))} - {""})
+        places, keys = letterhash.swap_keys(codes)
+        swapped = [w[:i - 1] + w[i] + w[i - 1] + w[i + 1:] for i in places]
+        assert [key(v) for v in swapped] == keys.tolist() and len(set(swapped)) == len(swapped)
+        for i, k in zip(*letterhash.substitution_keys(codes)):
+            assert letterhash.substitution_keys(letterhash.letters(w[:i - 1] + "z" + w[i:]))[1][i - 1] == k
+
+
+def test_hundred_thousand_letters_with_partners(spark):
+    """Key rows are of fixed size, one for each letter and kind; only true pairs bring letters together."""
+    rng = random.Random(6)
+    stem = "".join(rng.choice("abcdeä") for _ in range(100_000))
+    forms = [stem, stem[:50_000] + "x" + stem[50_001:], stem[:77_777] + stem[77_778:], stem[:3] + "q" + stem[3:],
+             stem[:-2] + stem[-1] + stem[-2], "talo", "tali"]
+    flagged = keep(spark.createDataFrame([(f, 1, True) for f in forms],
+                                         "form string, frequency long, accepted boolean"))
+    start = time.time()
+    keys = neighbours._hash_keys(flagged, letterhash.substitution_keys)
+    assert keys.count() == sum(map(len, forms)) and keys.columns == ["id", "size", "place", "key"]
+    pairs = {(f, g) for f in forms for g in forms if f != g and abs(len(f) - len(g)) < 2 and one_edit(f, g, True)}
+    found = neighbours.edit1_neighbours(flagged, True).collect()
+    assert len(found) == len(pairs) and {(r.form, r.neighbour) for r in found} == pairs
+    assert as_dict(neighbours.hamming_hood(flagged)) == {f: sum(
+        len(f) == len(g) and one_edit(f, g, False) for g in forms if g != f) for f in forms}
+    assert time.time() - start < 120  # keys of 100,000 letters each would be 10^10
+
+
 def test_junk_of_a_million_letters(spark):
     """It has no accepted form near its length, so it makes no keys."""
     forms = [("a" * 1_000_000, False), ("talo", True), ("tali", True), ("tal", False), ("talon", False)]
