@@ -207,6 +207,32 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
                          accepted_forms=even_forms(spark, sf_dir), auto=AUTO, minimum=MINIMUM)
 
 
+# One document in so many is added later to a lexicon of the others.
+LATER = 50
+
+
+@once_per_session
+def earlier_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
+    """A stored lexicon of all documents but the later ones."""
+    earlier = count_words(all_tokens(spark, sf_dir).where(F.col("doc_id") % LATER != 0), features_for("fi"))
+    return build_lexicon(earlier, new_folder(spark, "earlier"), **options(spark, sf_dir))
+
+
+def later_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word rows of the later documents."""
+    return count_words(all_tokens(spark, sf_dir).where(F.col("doc_id") % LATER == 0), features_for("fi"))
+
+
+def options(spark: SparkSession, sf_dir: str) -> dict:
+    """How the lexicons of the checks are built."""
+    return {"accepted_forms": stored_even_forms(spark, sf_dir), "auto": AUTO, "minimum": MINIMUM}
+
+
+@once_per_session
+def stored_even_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep(even_forms(spark, sf_dir), "even_forms")
+
+
 def even_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms found in documents of even number: stands in for a morphological analyser."""
     return tokens(spark, sf_dir).where(F.col("doc_id") % 2 == 0).select("form").distinct()

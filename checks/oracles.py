@@ -267,7 +267,7 @@ single AS MATERIALIZED (
 named AS MATERIALIZED (SELECT name, total FROM (UNPIVOT totals ON COLUMNS(*) INTO NAME name VALUE total)),
 meta AS (SELECT * FROM (VALUES ('language', 'Finnish'), ('langcode', 'fi')) t("key", value))"""
 
-TABLE_CELLS = " UNION ALL ".join([
+CELLS = [
     _cells("lexicon", "lemma, form, pos, feats",
            "lemma form pos posx feats len frequency frequencyx hood ambform", "wide", "ambform"),
     _cells("features", "feats, pos", "featid feats pos " + " ".join(FI.values()), "ids"),
@@ -281,7 +281,10 @@ TABLE_CELLS = " UNION ALL ".join([
     _cells("word_bigrams", "form", "form frequency", "wordbi"),
     _cells("totals", "name", "name total", "(SELECT name, total FROM named)"),
     _cells("metadata", '"key"', "key value", "meta"),
-])
+]
+TABLE_CELLS = " UNION ALL ".join(CELLS)
+# Without the tables that name feature ids.
+UNNUMBERED_CELLS = " UNION ALL ".join(c for c in CELLS if "'feature" not in c)
 
 CORE_WORDS = ["lemma", "form", "pos", "feats", "frequency"]
 TOKEN_ROWS = (f"SELECT CAST(doc_id // {PER_FILE} AS INTEGER) AS part, doc_id % {PER_FILE} + 1 AS sent_id, "
@@ -323,6 +326,13 @@ FROM (SELECT feats, count(*) AS tokens FROM tokens GROUP BY feats)""",
             + ", ".join(f"{feature(n)} AS {c}" for n, c in features_for("sv").items()) + " FROM words",
         "feature_ids": f"""{word_rows}
 SELECT lemma, form, pos, feats, frequency, dense_rank() OVER (ORDER BY feats, pos) AS featid FROM words""",
+        "feature_ids_stable": f"""WITH first AS (
+  SELECT feats, pos, row_number() OVER (ORDER BY feats, pos) AS featid FROM (WITH {words().replace(
+      "FROM documents", "FROM documents WHERE doc_id % 2 = 0")} SELECT DISTINCT feats, pos FROM words)),
+every AS (WITH {words()} SELECT DISTINCT feats, pos FROM words),
+more AS (SELECT feats, pos, (SELECT coalesce(max(featid), 0) FROM first) + row_number() OVER (ORDER BY feats, pos)
+         AS featid FROM every ANTI JOIN first USING (feats, pos))
+SELECT 1 AS round, * FROM first UNION ALL SELECT 2, * FROM (SELECT * FROM first UNION ALL SELECT * FROM more)""",
         "feature_values": f"""{word_rows},
 ids AS (SELECT feats, pos, row_number() OVER (ORDER BY feats, pos) AS featid
         FROM (SELECT DISTINCT feats, pos FROM words))
@@ -470,6 +480,10 @@ UNION ALL SELECT 'length', total, CAST(c AS BIGINT), CAST(total - c AS BIGINT) F
         "merge_lexicons": f"{word_rows} SELECT * FROM words",
         "prune_rebuilt": "WITH " + wide("frequency >= 2 AND pos <> 'PRON' AND length(form) <= 11") + " SELECT * FROM wide",
         "merge_rebuilt": f"{everything} SELECT * FROM wide",
+        "merge_incremental": f"{everything} SELECT * FROM wide",
+        "merge_incremental_tables": f"{everything}{IDS} {UNNUMBERED_CELLS}",
+        "prune_incremental":
+            "WITH " + wide("frequency >= 2 AND pos <> 'PRON' AND length(form) <= 11") + " SELECT * FROM wide",
         "export_roundtrip": f"{everything} {matches('true')}",
         "export_all_tables": f"{everything}{IDS} {TABLE_CELLS}",
         "combined_export": f"""{everything}

@@ -10,6 +10,7 @@ from checks import fixture as fx
 from lexloom.functions import feats
 from lexloom.languages import features_for
 from lexloom.operators import ambiguity, features, grams, neighbours, search, words
+from lexloom.plans import changes
 from lexloom.plans.build import build_from_tokens, build_lexicon, corpus_totals, metadata_table
 from lexloom.sources import conllu, export, vrt, wordlist
 from lexloom.sources.store import EXPORTED, Lexicon
@@ -152,6 +153,17 @@ def feature_ids(spark, sf_dir):
         "lemma", "form", "pos", "feats", "frequency", "featid")
 
 
+@query
+def feature_ids_stable(spark, sf_dir):
+    """Ids of a first lexicon, and of one that adds the other documents to it."""
+    first = words.count_words(fx.all_tokens(spark, sf_dir).where("doc_id % 2 = 0"), features_for("fi"))
+    known = keep(features.numbered_features(keep(first, "words"), features_for("fi")), "features")
+    grown = features.extend_features(known, fx.stored_words(spark, sf_dir), features_for("fi"))
+    rounds = [rows.select(F.lit(number).alias("round"), "feats", "pos", "featid")
+              for number, rows in enumerate((known, grown), 1)]
+    return rounds[0].unionByName(rounds[1])
+
+
 @query
 def feature_values(spark, sf_dir):
     return features.feature_values(
@@ -530,6 +542,35 @@ def merge_rebuilt(spark, sf_dir):
     return _rebuilt(spark, sf_dir, words.merge_words(*halves))
 
 
+def _merged(spark, sf_dir) -> Lexicon:
+    return changes.merge_into(fx.earlier_lexicon(spark, sf_dir), fx.later_words(spark, sf_dir),
+                              **fx.options(spark, sf_dir))
+
+
+@query
+def merge_incremental(spark, sf_dir):
+    return _merged(spark, sf_dir)["wide"].drop("primary")
+
+
+@query
+def merge_incremental_tables(spark, sf_dir):
+    """Every table but those with feature ids, which depend on the order of additions."""
+    merged = _merged(spark, sf_dir)
+    out = None
+    for name in EXPORTED:
+        if not name.startswith("feature"):
+            rows = _contents(merged[name], name, KEYS[name])
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def prune_incremental(spark, sf_dir):
+    pruned = changes.prune_from(fx.lexicon(spark, sf_dir), min_frequency=2, drop_pos=["PRON"], max_length=11,
+                                **fx.options(spark, sf_dir))
+    return pruned["wide"].drop("primary")
+
+
 # Exports
 
 @query

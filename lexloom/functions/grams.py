@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from lexloom.functions.words import WILDCARD
@@ -14,6 +16,20 @@ def bigrams(word: Column) -> Column:
     return F.when(F.length(word) > 1, pairs).otherwise(F.array().cast("array<string>"))
 
 
+def bigram_mean(word: Column, alphabet: str, table: Sequence[int]) -> Column:
+    """Mean frequency of a word's letter pairs, rounded down; null for a one-letter word.
+
+    ``table`` holds the frequency of each pair of letters of ``alphabet``, first letter by first letter.
+    The row alone decides, so nothing is joined or shuffled.
+    """
+    held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    letter = lambda i: F.position(F.substring(word, i, F.lit(1)), F.lit(alphabet)) - 1
+    pairs = F.length(word) - 1
+    total = F.aggregate(F.sequence(F.lit(1), pairs), F.lit(0).cast("long"), lambda acc, i: acc + F.coalesce(
+        F.get(held, letter(i) * len(alphabet) + letter(i + 1)), F.lit(0)))
+    return F.when(pairs > 0, F.floor(total / pairs))
+
+
 def has_trigrams(word: Column) -> Column:
     """Only words of four letters or more count at the word edges."""
     return F.length(word) >= 4

@@ -23,6 +23,21 @@ def numbered_features(words: DataFrame, features: dict[str, str]) -> DataFrame:
     return pairs.select("featid", "feats", "pos", *feature_columns(F.col("feats"), features))
 
 
+def extend_features(known: DataFrame, words: DataFrame, features: dict[str, str]) -> DataFrame:
+    """The feature table ``known`` with rows for the (feats, pos) of ``words`` it lacks.
+
+    Ids are never changed or used again: new pairs are numbered, in order, above the highest id.
+    Pass stored tables; ``known`` is not sorted or numbered again.
+    """
+    unseen = words.select("feats", "pos").distinct().join(
+        known.select("feats", "pos"), ["feats", "pos"], "left_anti")
+    highest = known.agg(F.max("featid")).first()[0] or 0
+    fresh = number_sorted(unseen, ["feats", "pos"], "featid").select(
+        (F.col("featid") + F.lit(highest)).alias("featid"), "feats", "pos",
+        *feature_columns(F.col("feats"), features))
+    return known.select(fresh.columns).unionByName(fresh)
+
+
 def with_feature_ids(words: DataFrame, numbered: DataFrame) -> DataFrame:
     """Word rows with the id of their (feats, pos)."""
     ids = keep(numbered.select("feats", "pos", "featid"), "featids")

@@ -214,6 +214,29 @@ def hamming_hood(flagged: DataFrame, transpositions: bool = False) -> DataFrame:
     return counts.groupBy("form").agg(F.sum("n").alias("hood"))
 
 
+def hamming_pairs(flagged: DataFrame, transpositions: bool = False) -> DataFrame:
+    """(form, neighbour) for every accepted form of the same length one letter away.
+
+    Where few forms are accepted, their keys are broadcast and the others do not move.
+    """
+    form, lengths = F.col("form"), _Lengths(flagged)
+    accepted = _short(flagged.where("accepted"))
+    asking = lengths.with_accepted(_short(flagged), 0)
+    theirs = lengths.asked(accepted, 0).select(form.alias("neighbour"))
+    held = keep(theirs.select("neighbour", F.explode(wildcard_patterns(F.col("neighbour"))).alias("key")), "keys")
+    pairs = _meet(asking.select("form", F.explode(wildcard_patterns(form)).alias("key")), held, "key").where(
+        form != F.col("neighbour"))
+    if transpositions:
+        # The word with two letters swapped back: keys come from the few.
+        swapped = keep(theirs.select("neighbour", F.explode(swaps(F.col("neighbour"))).alias("key")), "keys")
+        pairs = pairs.unionByName(_meet(asking.select("form", form.alias("key")), swapped, "key"))
+    pairs = pairs.select("form", "neighbour")
+    if lengths.longest() < LONG_WORD:
+        return pairs
+    rows = flagged.select("form", F.lit(0).cast("long").alias("frequency"), "accepted")
+    return pairs.unionByName(_long_pairs(rows, lengths, False, transpositions).select("form", "neighbour"))
+
+
 def edit1_counts(flagged: DataFrame, transpositions: bool = False) -> DataFrame:
     """(form, neighbours): accepted other forms within edit distance one."""
     lengths = _Lengths(flagged)

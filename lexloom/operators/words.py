@@ -90,20 +90,26 @@ def merge_words(first: DataFrame, *others: DataFrame) -> DataFrame:
     return sum_words(rows)
 
 
-def prune_words(words: DataFrame, min_frequency: int | None = None,
-                drop_pos: Iterable[str] = (), max_length: int | None = None) -> DataFrame:
-    """Drop rare rows, word classes or long forms, and recompute the base columns."""
+def dropped(min_frequency: int | None = None, drop_pos: Iterable[str] = (),
+            max_length: int | None = None) -> Column:
+    """Whether pruning drops a word row: it is too rare or too long, or of an unwanted class."""
     drop_pos = list(drop_pos)
     if min_frequency is None and not drop_pos and max_length is None:
         raise ValueError("no pruning criteria given")
-    rows = words
+    hit = F.lit(False)
     if min_frequency is not None:
-        rows = rows.where(F.col("frequency") >= min_frequency)
+        hit = hit | (F.col("frequency") < min_frequency)
     if drop_pos:
-        rows = rows.where(~F.col("pos").isin(drop_pos))
+        hit = hit | F.col("pos").isin(drop_pos)
     if max_length is not None:
-        rows = rows.where(F.length("form") <= max_length)
-    return sum_words(rows)
+        hit = hit | (F.length("form") > max_length)
+    return hit
+
+
+def prune_words(words: DataFrame, min_frequency: int | None = None,
+                drop_pos: Iterable[str] = (), max_length: int | None = None) -> DataFrame:
+    """Drop rare rows, word classes or long forms, and recompute the base columns."""
+    return sum_words(words.where(~dropped(min_frequency, drop_pos, max_length)))
 
 
 def prune_report(words: DataFrame, min_frequency: int | None = None,

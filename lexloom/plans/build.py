@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexloom.functions.grams import final_trigram, has_trigrams, initial_trigram
 from lexloom.languages import features_for, metadata_for
 from lexloom.operators.ambiguity import form_lemma_counts, form_totals, lemmaforms, lemmas
-from lexloom.operators.features import feature_values, numbered_features
+from lexloom.operators.features import extend_features, feature_values, numbered_features
 from lexloom.operators.grams import (bigram_freqs, bigram_means, final_gram_freqs,
                                      initial_gram_freqs)
 from lexloom.operators.lookup import lookup_join
 from lexloom.operators.neighbours import (AUTO_FREQUENCY, MIN_FREQUENCY, flag_accepted,
                                           hamming_hood)
 from lexloom.operators.words import BASE_COLUMNS, count_words
-from lexloom.sources.store import Lexicon
+from lexloom.sources.store import Lexicon, begin, complete
 from lexloom.storage import keep
 
 # Stored lexicon columns beside the base ones.
@@ -34,11 +34,13 @@ def build_from_tokens(tokens: DataFrame, path: str, langcode: str = "fi",
 def build_lexicon(words: DataFrame, path: str, langcode: str = "fi",
                   accepted_forms: DataFrame | None = None,
                   auto: int = AUTO_FREQUENCY, minimum: int = MIN_FREQUENCY,
-                  transpositions: bool = False) -> Lexicon:
+                  transpositions: bool = False, known_features: DataFrame | None = None) -> Lexicon:
     """Store word rows with every derived table.
 
     Each step writes a table the next ones read, so nothing is computed twice and
-    no step depends on memory held by an executor.
+    no step depends on memory held by an executor. A mark is set last, without which
+    a lexicon cannot be opened. With ``known_features``, the ``features`` table of an
+    earlier lexicon, ids in it stay as they are.
     """
     spark = words.sparkSession
     features = features_for(langcode)
@@ -47,6 +49,9 @@ def build_lexicon(words: DataFrame, path: str, langcode: str = "fi",
         return keep(df, path=f"{path}/{name}")
 
     words = keep(words.select(BASE_COLUMNS), "words")
+    if known_features is not None:
+        known_features = keep(known_features, "known")  # it may lie in the folder written to
+    begin(spark, path)
     counts = keep(form_lemma_counts(words), "counts")
     totals = keep(form_totals(counts), "forms")
 
@@ -60,7 +65,8 @@ def build_lexicon(words: DataFrame, path: str, langcode: str = "fi",
     shares = store(lemmaforms(counts, totals), "lemmaforms")
     lemma_rows = store(lemmas(shares), "lemmas")
 
-    numbered = store(numbered_features(words, features), "features")
+    numbered = store(numbered_features(words, features) if known_features is None
+                     else extend_features(known_features, words, features), "features")
     store(feature_values(numbered), "feature_values")
 
     # Frequent words first: the usual frequency filters skip files and row groups.
@@ -73,6 +79,7 @@ def build_lexicon(words: DataFrame, path: str, langcode: str = "fi",
     store(wide.select(*BASE_COLUMNS, *DERIVED_COLUMNS), "lexicon")
     store(corpus_totals(words, lemma_rows, init, fin, pairs), "totals")
     store(metadata_table(spark, langcode), "metadata")
+    complete(spark, path)
     return Lexicon.load(spark, path)
 
 

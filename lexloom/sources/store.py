@@ -14,11 +14,33 @@ TABLES = ["lexicon", "wide", "features", "feature_values", "lemmaforms", "forms"
 # Tables with the lexicon's content; ``wide`` is the search copy of it.
 EXPORTED = [name for name in TABLES if name != "wide"]
 
+# Stands beside the tables once all of them are written.
+MARK = "_complete"
+
 # What is read when a lexicon is opened.
 METADATA_KEYS = list(metadata_for("fi"))
 TOTAL_NAMES = ["frequency", "lemmafreq", "initgramfreq", "fingramfreq", "bigramfreq"]
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system: a lexicon may lie in any store that Spark reads."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def begin(spark: SparkSession, path: str) -> None:
+    """Take the completion mark away: from here on the tables may be old, new or missing."""
+    mark, files = _path(spark, f"{path}/{MARK}")
+    files.delete(mark, False)
+
+
+def complete(spark: SparkSession, path: str) -> None:
+    """Set the completion mark, after the last table."""
+    mark, files = _path(spark, f"{path}/{MARK}")
+    files.create(mark, True).close()
+
+
 @dataclass
 class Lexicon:
     """A stored lexicon: its tables, metadata and corpus totals."""
@@ -37,7 +59,13 @@ class Lexicon:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Lexicon":
-        """Open a stored lexicon; only its few metadata and total rows are read."""
+        """Open a stored lexicon; only its few metadata and total rows are read.
+
+        One whose build did not come to its end is refused.
+        """
+        mark, files = _path(spark, f"{path}/{MARK}")
+        if not files.exists(mark):
+            raise ValueError(f"no finished lexicon in {path}: it is missing, or a build was interrupted")
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
         # Only the keys the library uses come to the driver, whatever else is stored.
         metadata = {row.key: row.value for row in
