@@ -16,6 +16,7 @@ from lexloom.languages import features_for
 from lexloom.operators.lookup import number_sorted
 from lexloom.operators.words import count_words
 from lexloom.plans.build import build_lexicon
+from lexloom.plans.indexes import build_indexes
 from lexloom.sources.store import Lexicon
 from lexloom.storage import keep, new_folder
 
@@ -207,6 +208,12 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
                          accepted_forms=even_forms(spark, sf_dir), auto=AUTO, minimum=MINIMUM)
 
 
+@once_per_session
+def indexed_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
+    """The same lexicon, opened with indexes."""
+    return build_indexes(lexicon(spark, sf_dir))
+
+
 # One document in so many is added later to a lexicon of the others.
 LATER = 50
 

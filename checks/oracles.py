@@ -413,6 +413,11 @@ ORDER BY hood, {KEY} LIMIT 500""",
         "filter_end": f"""{everything} {matches(
             "(ends_with(form, 'ing') OR ends_with(form, 'tion') OR ends_with(form, 'è')) "
             "AND NOT ends_with(form, 'ating')")}""",
+        "filter_end_indexed": f"""{everything} {matches(
+            "(ends_with(form, 'ing') OR ends_with(form, 'tion') OR ends_with(form, 'en')) "
+            "AND (starts_with(form, 'th') OR starts_with(form, 're')) AND NOT ends_with(form, 'ating')")}""",
+        "filter_long_list": f"""{everything}, seven AS (SELECT form AS f FROM forms WHERE length(form) = 7) {matches(
+            "left(form, 7) IN (SELECT f FROM seven) AND right(form, 7) NOT IN (SELECT f FROM seven)")}""",
         "filter_middle": f"""{everything} {matches(
             "(form LIKE '_%tion%_' OR form LIKE '_%ouo%_') AND form NOT LIKE '_%the%_' "
             "AND form NOT LIKE '_%ent%_'")}""",
@@ -427,6 +432,9 @@ ORDER BY hood, {KEY} LIMIT 500""",
         "clitic_not_in": f"""{everything} {matches("clitic NOT IN ('Kin', 'Kaan') AND clitic <> '_'")}""",
         "wordlist_forms": f"""{everything} {LISTED}
 SELECT f.position AS "order", m.* FROM ({matches('true')}) m JOIN formlist f ON m.form = f.item
+""",
+        "wordlist_forms_joined": f"""{everything} {LISTED}
+SELECT f.position AS "order", m.* FROM ({matches('true')}) m JOIN formlist f ON m.form = f.item
 """,
         "wordlist_lemmas": f"""{everything} {LISTED}
 SELECT f.position AS "order", m.* FROM ({matches('true')}) m

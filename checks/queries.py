@@ -311,8 +311,8 @@ def lexicon_stats(spark, sf_dir):
 
 # Searches
 
-def _matches(spark, sf_dir, *conditions) -> DataFrame:
-    lexicon = fx.lexicon(spark, sf_dir)
+def _matches(spark, sf_dir, *conditions, indexed: bool = False) -> DataFrame:
+    lexicon = (fx.indexed_lexicon if indexed else fx.lexicon)(spark, sf_dir)
     return search.matching(lexicon, conditions).select(search.result_columns(lexicon.features))
 
 
@@ -362,7 +362,7 @@ def filter_in(spark, sf_dir):
 
 @query
 def filter_like(spark, sf_dir):
-    return _matches(spark, sf_dir, ("form", "like", "%TION%"), ("lemma", "like", "th%"))
+    return _matches(spark, sf_dir, ("form", "like", "%TION%"), ("lemma", "like", "th%"), indexed=True)
 
 
 @query
@@ -382,10 +382,24 @@ def filter_end(spark, sf_dir):
     return _matches(spark, sf_dir, ("end", "in", ["ing", "tion", "è"]), ("end", "!=", "ating"))
 
 
+@query
+def filter_end_indexed(spark, sf_dir):
+    """Affixes of three letters, marks included, go through the trigrams."""
+    return _matches(spark, sf_dir, ("end", "in", ["ing", "tion", "en"]), ("start", "in", ["th", "re"]),
+                    ("end", "!=", "ating"), indexed=True)
+
+
+@query
+def filter_long_list(spark, sf_dir):
+    """Every form of seven letters as a beginning or an end: tens of thousands of affixes."""
+    affixes = [row.form for row in fx.stored_forms(spark, sf_dir).where("length(form) = 7").select("form").collect()]
+    return _matches(spark, sf_dir, ("start", "in", affixes), ("end", "not in", affixes))
+
+
 @query
 def filter_middle(spark, sf_dir):
     return _matches(spark, sf_dir, ("middle", "in", "tion,ouo"), ("middle", "!=", "the"),
-                    ("middle", "not in", ["ent"]))
+                    ("middle", "not in", ["ent"]), indexed=True)
 
 
 @query
@@ -415,12 +429,20 @@ def clitic_not_in(spark, sf_dir):
 
 @query
 def wordlist_forms(spark, sf_dir):
+    return search.search_wordlist(fx.indexed_lexicon(spark, sf_dir), fx.form_list(spark, sf_dir), "form",
+                                  ordered=False)
+
+
+@query
+def wordlist_forms_joined(spark, sf_dir):
+    """The same without indexes, in order."""
     return search.search_wordlist(fx.lexicon(spark, sf_dir), fx.form_list(spark, sf_dir), "form")
 
 
 @query
 def wordlist_lemmas(spark, sf_dir):
-    return search.search_wordlist(fx.lexicon(spark, sf_dir), fx.lemma_list(spark, sf_dir), "lemma")
+    return search.search_wordlist(fx.indexed_lexicon(spark, sf_dir), fx.lemma_list(spark, sf_dir), "lemma",
+                                  ordered=False)
 
 
 @query

@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from lexloom.functions.words import WILDCARD
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def bigrams(word: Column) -> Column:
     """Adjacent letter pairs, repeats kept; empty for a one-letter word."""
@@ -35,6 +37,13 @@ def has_trigrams(word: Column) -> Column:
     return F.length(word) >= 4
 
 
+def marked_trigrams(word: Column) -> Column:
+    """The distinct trigrams of a word between marks for its beginning and end, A-Z as a-z."""
+    text = F.concat(F.lit("^"), F.translate(word, UPPER, LOWER), F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))),
+                                        lambda i: F.substring(text, i, F.lit(3))))
+
+
 def initial_trigram(word: Column) -> Column:
     return F.substring(word, 1, 3)
 

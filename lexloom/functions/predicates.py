@@ -18,6 +18,7 @@ from typing import Any
 from pyspark.sql import Column, functions as F
 
 from lexloom.functions.feats import EMPTY
+from lexloom.functions.grams import LOWER, UPPER
 from lexloom.functions.words import is_compound, without_separator
 from lexloom.languages import MULTI_VALUE_COLUMNS
 
@@ -41,9 +42,6 @@ FORM_OPERATORS = ("=", "!=", "in", "not in")
 PER_MILLION = 1e6
 LONG = 2.0 ** 63
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-
 
 @dataclass(frozen=True)
 class Condition:

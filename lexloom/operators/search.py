@@ -1,7 +1,8 @@
 """Searching a stored lexicon.
 
-Every search is one scan of the ``wide`` table: the conditions reach Parquet, only the
-shown columns are read, and a top-k needs no shuffle before its final merge.
+A search is one scan of the ``wide`` table: the conditions reach Parquet, only the
+shown columns are read, and a top-k needs no shuffle before its final merge. A lexicon opened with
+indexes finds letters inside forms, and the words of a list, through these instead.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions.feats import EMPTY
 from lexloom.functions.predicates import ALIASES, all_of, check, names_auxiliary
+from lexloom.operators.indexed import candidate_forms, is_long, with_long_list
 from lexloom.operators.lookup import lookup_join
 from lexloom.sources.store import Lexicon
 from lexloom.storage import keep
@@ -27,13 +29,13 @@ GRAM_COLUMNS = ["bigramfreq", "initgramfreq", "fingramfreq"]
 FREQUENCY_COLUMNS = ["lemmafreq", "frequency", "bigramfreq", "initgramfreq", "fingramfreq"]
 
 
-def _view(lexicon: Lexicon, raw: bool) -> DataFrame:
-    """The wide rows under their result meaning of ``pos`` and ``frequency``.
+def _view(lexicon: Lexicon, raw: bool, wide: DataFrame | None = None) -> DataFrame:
+    """The wide rows (or those of a copy) under their result meaning of ``pos`` and ``frequency``.
 
     Normally verbs and auxiliaries are one class with a combined frequency and one
     row per pair; ``raw`` keeps them apart.
     """
-    wide = lexicon["wide"]
+    wide = lexicon["wide"] if wide is None else wide
     if raw:
         return wide.drop("frequencyx", "primary")
     return (wide.where("primary").drop("pos", "frequency", "primary")
@@ -54,8 +56,19 @@ def matching(lexicon: Lexicon, conditions: Iterable[Any]) -> DataFrame:
     checked, _top = check(conditions, lexicon.features)
     if not checked:
         raise ValueError("no conditions given")
-    rows = _view(lexicon, names_auxiliary(checked))
-    return rows.where(all_of(checked, _columns(rows), lexicon.totals))
+    raw = names_auxiliary(checked)
+    candidates = candidate_forms(lexicon.indexes.grams, checked) if lexicon.indexes else None
+    if candidates is None:
+        rows = _view(lexicon, raw)
+    else:
+        # The copy in buckets of forms stays in place.
+        rows = _view(lexicon, raw, lexicon.indexes.bucketed["form"].join(candidates, "form", "left_semi"))
+    plain = [c for c in checked if not is_long(c)]
+    rows = rows.where(all_of(plain, _columns(rows), lexicon.totals))
+    for condition in checked:
+        if is_long(condition):
+            rows = with_long_list(rows, lexicon["forms"], condition)
+    return rows
 
 
 def result_columns(features: Mapping[str, str], lemmas: bool = True, grams: bool = True) -> list[Column]:
@@ -79,33 +92,42 @@ def _ordering(order_by: str, ascending: bool) -> list[Any]:
 
 def search(lexicon: Lexicon, conditions: Iterable[Any], order_by: str = "frequency",
            ascending: bool = False, limit: int | None = None,
-           lemmas: bool = True, grams: bool = True) -> DataFrame:
-    """Rows that meet the conditions, most frequent first by default; all, or the first ``limit``."""
+           lemmas: bool = True, grams: bool = True, ordered: bool = True) -> DataFrame:
+    """Rows that meet the conditions, most frequent first by default; all, or the first ``limit``.
+
+    With ``ordered`` false and no limit they come as they are, which saves a sort of the whole result.
+    """
     rows = matching(lexicon, conditions).select(result_columns(lexicon.features, lemmas, grams))
     if _shown(order_by) not in rows.columns:
         raise ValueError(f"Order column '{order_by}' not ok")
-    return _first(rows.orderBy(_ordering(order_by, ascending)), limit)
+    return _first(rows, _ordering(order_by, ascending), limit, ordered)
 
 
-def _first(rows: DataFrame, limit: int | None) -> DataFrame:
-    return rows if limit is None else rows.limit(limit)
+def _first(rows: DataFrame, order: list[Any], limit: int | None, ordered: bool) -> DataFrame:
+    if limit is None:
+        return rows.orderBy(order) if ordered else rows
+    return rows.orderBy(order).limit(limit)
 
 
 def search_wordlist(lexicon: Lexicon, items: DataFrame, kind: str, limit: int | None = None,
-                    lemmas: bool = True, grams: bool = True) -> DataFrame:
+                    lemmas: bool = True, grams: bool = True, ordered: bool = True) -> DataFrame:
     """Rows of the listed words (``item``, ``position``), with their list position first.
 
     ``kind`` is ``form`` or ``lemma``; lemmas match without compound separators. An
-    item given twice keeps its last position.
+    item given twice keeps its last position. ``limit`` and ``ordered`` are as in ``search``.
+
+    With indexes the list goes to the buckets of the search table's copy, and only the list moves.
     """
     if kind not in ("form", "lemma"):
         raise ValueError(f"wordlist type not ok: '{kind}'")
     key = "lemmac" if kind == "lemma" else "form"
-    listed = keep(items.groupBy(F.col("item").alias(key)).agg(F.max("position").alias("order")),
-                  "wordlist")
-    rows = lookup_join(_view(lexicon, raw=False), listed, [key], "inner")
+    listed = items.groupBy(F.col("item").alias(key)).agg(F.max("position").alias("order"))
+    if lexicon.indexes:
+        rows = _view(lexicon, False, lexicon.indexes.bucketed[key]).join(listed, key)
+    else:
+        rows = lookup_join(_view(lexicon, raw=False), keep(listed, "wordlist"), [key], "inner")
     rows = rows.select("order", *result_columns(lexicon.features, lemmas, grams))
-    return _first(rows.orderBy(_ordering("frequency", False)), limit)
+    return _first(rows, _ordering("frequency", False), limit, ordered)
 
 
 def refilter(lexicon: Lexicon, result: DataFrame, conditions: Iterable[Any]) -> DataFrame:
@@ -152,8 +174,8 @@ def aggregate(lexicon: Lexicon, keys: Sequence[str], operator: str = "sum",
         rows = rows.withColumn("posx", F.when(F.col("pos") == "AUX", "VERB").otherwise(F.col("pos")))
     group = [F.col(name).alias(_shown(name)) for name in names]
     measure = F.sum("frequency") if operator == "sum" else F.count("frequency")
-    return _first(rows.groupBy(group).agg(measure.alias("agg"))
-                  .orderBy(F.col("agg").desc(), *map(_shown, names)), limit)
+    return _first(rows.groupBy(group).agg(measure.alias("agg")),
+                  [F.col("agg").desc(), *map(_shown, names)], limit, True)
 
 
 def relative_frequencies(lexicon: Lexicon, result: DataFrame, scale: float = 1e6,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,9 +31,19 @@ def _path(spark: SparkSession, path: str):
 
 
 def begin(spark: SparkSession, path: str) -> None:
-    """Take the completion mark away: from here on the tables may be old, new or missing."""
+    """Take the completion mark away: from here on the tables may be old, new or missing.
+
+    Indexes of the tables lose theirs too.
+    """
+    for folder in (f"{path}/indexes", path):
+        mark, files = _path(spark, f"{folder}/{MARK}")
+        files.delete(mark, False)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has its completion mark."""
     mark, files = _path(spark, f"{path}/{MARK}")
-    files.delete(mark, False)
+    return files.exists(mark)
 
 
 def complete(spark: SparkSession, path: str) -> None:
@@ -50,6 +61,8 @@ class Lexicon:
     metadata: dict[str, str]
     totals: dict[str, int]
     features: dict[str, str] = field(init=False)
+    #: Search indexes (``plans.indexes``), if it was opened with them.
+    indexes: Any = None
 
     def __post_init__(self) -> None:
         self.features = features_for(self.metadata.get("langcode"))
@@ -63,8 +76,7 @@ class Lexicon:
 
         One whose build did not come to its end is refused.
         """
-        mark, files = _path(spark, f"{path}/{MARK}")
-        if not files.exists(mark):
+        if not finished(spark, path):
             raise ValueError(f"no finished lexicon in {path}: it is missing, or a build was interrupted")
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
         # Only the keys the library uses come to the driver, whatever else is stored.
