@@ -142,6 +142,12 @@ def write_vrt(spark: SparkSession, sf_dir: str) -> str:
     return _write_parts(spark, rows, "\n", "vrt", "none")
 
 
+@once_per_session
+def vrt_text(spark: SparkSession, sf_dir: str) -> str:
+    """The VRT folder, rendered once per session."""
+    return write_vrt(spark, sf_dir)
+
+
 def _write_parts(spark: SparkSession, rows: DataFrame, line_sep: str, name: str,
                  compression: str) -> str:
     folder = new_folder(spark, name)

@@ -249,7 +249,7 @@ def _cells(name: str, key: str, columns: str, source: str, doubles: str = "") ->
     """A table in long form; doubles in billionths."""
     parts = []
     for column in columns.split():
-        value = f"CAST(round({column} * 1e9) AS BIGINT)" if column in doubles.split() else column
+        value = f"CAST(round({column} * 1e9) AS BIGINT)" if column in doubles.split() else f'"{column}"'
         parts.append(f"SELECT '{name}' AS name, concat_ws('|', {key}) AS \"key\", '{column}' AS \"column\", "
                      f"CAST({value} AS VARCHAR) AS value FROM {source}")
     return " UNION ALL ".join(parts)
@@ -286,6 +286,26 @@ TABLE_CELLS = " UNION ALL ".join(CELLS)
 # Without the tables that name feature ids.
 UNNUMBERED_CELLS = " UNION ALL ".join(c for c in CELLS if "'feature" not in c)
 
+
+
+def combined(where: str) -> str:
+    """The combined table: per million and ambiguity with three decimals."""
+    return f"""SELECT DISTINCT lemma, m.lemmafreq,
+  round(m.lemmafreq * CAST(1e9 AS DOUBLE) / t.lemmafreq) / CAST(1000 AS DOUBLE) AS rellemmafreq, lemmalen,
+  round(1000 * amblemma) / CAST(1000 AS DOUBLE) AS amblemma, form, pos, len, hood,
+  round(1000 * ambform) / CAST(1000 AS DOUBLE) AS ambform, m.frequency,
+  round(m.frequency * CAST(1e9 AS DOUBLE) / t.frequency) / CAST(1000 AS DOUBLE) AS relfrequency, feats,
+  m.* EXCLUDE (lemma, lemmafreq, lemmalen, amblemma, form, pos, len, hood, ambform, frequency, feats)
+FROM ({matches(where)}) m, totals t"""
+
+
+COMBINED_COLUMNS = ["lemma", "lemmafreq", "rellemmafreq", "lemmalen", "amblemma", "form", "pos", "len", "hood", "ambform",
+                    "frequency", "relfrequency", "feats", *(SHOWN.get(c, c) for c in FI.values()),
+                    "initgramfreq", "fingramfreq", "bigramfreq"]
+COMBINED_CELLS = ", ".join(
+    f"CAST(CAST(round({c} * 1e9) AS BIGINT) AS VARCHAR)" if c in ("rellemmafreq", "amblemma", "ambform", "relfrequency")
+    else f"CAST({c} AS VARCHAR)" for c in COMBINED_COLUMNS)
+
 CORE_WORDS = ["lemma", "form", "pos", "feats", "frequency"]
 TOKEN_ROWS = (f"SELECT CAST(doc_id // {PER_FILE} AS INTEGER) AS part, doc_id % {PER_FILE} + 1 AS sent_id, "
               "CAST(token_id AS INTEGER) AS token_id, form, lemma, upos, feats FROM annotated")
@@ -475,6 +495,9 @@ GROUP BY lemma, pos ORDER BY agg DESC, lemma, posx LIMIT 50""",
         "aggregate_filtered": f"""{everything}
 SELECT "number", clitic, CAST(sum(frequency) AS BIGINT) AS agg FROM ({matches(
             "posx IN ('NOUN', 'ADJ') AND lemmafreq > 3 AND list_contains(string_split(clitic, ','), 'Kin')")})
+GROUP BY ALL""",
+        "aggregate_scanned": f"""{everything}
+SELECT pos, "number", CAST(sum(frequency) AS BIGINT) AS agg FROM ({matches("starts_with(form, 'th')")})
 GROUP BY ALL""",
         "prune_frequency": _pruned("frequency >= 2"),
         "prune_pos": _pruned("pos NOT IN ('AUX', 'PRON')"),
@@ -495,16 +518,10 @@ UNION ALL SELECT 'length', total, CAST(c AS BIGINT), CAST(total - c AS BIGINT) F
         "export_roundtrip": f"{everything} {matches('true')}",
         "export_all_tables": f"{everything}{IDS} {TABLE_CELLS}",
         "combined_export": f"""{everything}
-SELECT DISTINCT lemma, m.lemmafreq,
-  round(m.lemmafreq * CAST(1e9 AS DOUBLE) / t.lemmafreq) / CAST(1000 AS DOUBLE) AS rellemmafreq, lemmalen,
-  round(1000 * amblemma) / CAST(1000 AS DOUBLE) AS amblemma, form, pos, len, hood,
-  round(1000 * ambform) / CAST(1000 AS DOUBLE) AS ambform, m.frequency,
-  round(m.frequency * CAST(1e9 AS DOUBLE) / t.frequency) / CAST(1000 AS DOUBLE) AS relfrequency, feats,
-  m.* EXCLUDE (lemma, lemmafreq, lemmalen, amblemma, form, pos, len, hood, ambform, frequency, feats)
-FROM ({matches('frequencyx > 1')}) m, totals t ORDER BY m.frequency DESC, lemma, form, pos, feats LIMIT 2000""",
-        "release_export": f"""{everything}{IDS} {TABLE_CELLS}
-UNION ALL SELECT 'combined', '', 'rows', CAST(count(*) AS VARCHAR)
-FROM (SELECT DISTINCT lemma, form, posx, feats FROM words)
+{combined('frequencyx > 1')} ORDER BY m.frequency DESC, lemma, form, pos, feats LIMIT 2000""",
+        "release_export": f"""{everything}{IDS}, merged AS MATERIALIZED ({combined('true')}) {TABLE_CELLS}
+UNION ALL SELECT 'combined', concat_ws('|', lemma, form, pos, feats), 'row', md5(concat_ws('|', {COMBINED_CELLS}))
+FROM merged
 UNION ALL SELECT 'statistics', 'documents', c, v FROM (
   SELECT unnest(['source', 'language', 'langcode', 'rows', 'frequency']) AS c,
          unnest(['documents', 'Finnish', 'fi', CAST(count(*) AS VARCHAR),

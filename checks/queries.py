@@ -69,12 +69,12 @@ def conllu_tokens_capped(spark, sf_dir):
 
 @query
 def vrt_tokens(spark, sf_dir):
-    return _part(vrt.read_vrt(spark, fx.write_vrt(spark, sf_dir), glob="*.txt"))
+    return _part(vrt.read_vrt(spark, fx.vrt_text(spark, sf_dir), glob="*.txt"))
 
 
 @query
 def vrt_lexicon(spark, sf_dir):
-    tokens = vrt.read_vrt_tokens(spark, fx.write_vrt(spark, sf_dir), glob="*.txt")
+    tokens = vrt.read_vrt_tokens(spark, fx.vrt_text(spark, sf_dir), glob="*.txt")
     return words.count_words(tokens, features_for("fi")).drop("primary")
 
 
@@ -489,20 +489,26 @@ def drop_empty_columns(spark, sf_dir):
 
 @query
 def aggregate_sum(spark, sf_dir):
-    return search.aggregate(fx.lexicon(spark, sf_dir), ["pos", "case"], "sum")
+    return search.aggregate(fx.indexed_lexicon(spark, sf_dir), ["pos", "case"], "sum")
 
 
 @query
 def aggregate_count(spark, sf_dir):
-    return search.aggregate(fx.lexicon(spark, sf_dir), ["lemma", "posx"], "count", limit=50)
+    return search.aggregate(fx.indexed_lexicon(spark, sf_dir), ["lemma", "posx"], "count", limit=50)
 
 
 @query
 def aggregate_filtered(spark, sf_dir):
-    return search.aggregate(fx.lexicon(spark, sf_dir), ["number", "clitic"], "sum",
+    return search.aggregate(fx.indexed_lexicon(spark, sf_dir), ["number", "clitic"], "sum",
                             [("pos", "in", "noun,adj"), ("lemmafreq", ">", 3), ("clitic", "in", "kin")])
 
 
+@query
+def aggregate_scanned(spark, sf_dir):
+    """Conditions on the form are in no stored sums."""
+    return search.aggregate(fx.lexicon(spark, sf_dir), ["pos", "number"], "sum", [("start", "=", "th")])
+
+
 # Managing lexicons
 
 def _words_and_forms(rows: DataFrame) -> DataFrame:
@@ -626,10 +632,8 @@ def release_export(spark, sf_dir):
     export.export_release(lexicon, folder, "documents")
     combined = export.read_text(spark, f"{folder}/tables/combined", export.combined_rows(lexicon).schema)
     stats = spark.read.json(f"{folder}/statistics")
-    sizes = combined.distinct().agg(F.count("*").alias("rows")).select(
-        F.lit("combined").alias("name"), F.lit("").alias("key"), F.lit("rows").alias("column"),
-        F.col("rows").cast("string").alias("value"))
-    return (_table_contents(spark, lexicon, f"{folder}/tables").unionByName(sizes)
+    return (_table_contents(spark, lexicon, f"{folder}/tables")
+            .unionByName(_rows(combined, "combined", KEYS["lexicon"]))
             .unionByName(_contents(stats, "statistics", ["source"])))
 
 
@@ -640,11 +644,23 @@ KEYS = {"lexicon": ["lemma", "form", "pos", "feats"], "features": ["feats", "pos
         "bigrams": ["gram"], "word_bigrams": ["form"], "totals": ["name"], "metadata": ["key"]}
 
 
+def _text(column: str, kind: str):
+    """A cell as text, doubles in billionths."""
+    value = F.round(F.col(column) * 1e9).cast("long") if kind == "double" else F.col(column)
+    return value.cast("string")
+
+
+def _rows(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """A table with a digest of all cells of each row."""
+    cells = F.concat_ws("|", *[_text(c, kind) for c, kind in df.dtypes])
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in keys]).alias("key")
+    return df.select(F.lit(name).alias("name"), key, F.lit("row").alias("column"), F.md5(cells).alias("value"))
+
+
 def _contents(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """A table in long form: its name, the row's key, the column and its value as text."""
     def text(column: str, kind: str):
-        value = F.round(F.col(column) * 1e9).cast("long") if kind == "double" else F.col(column)
-        return F.struct(F.lit(column).alias("column"), value.cast("string").alias("value"))
+        return F.struct(F.lit(column).alias("column"), _text(column, kind).alias("value"))
 
     cells = F.array(*[text(c, kind) for c, kind in df.dtypes if c != "primary"])
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in keys]).alias("key")

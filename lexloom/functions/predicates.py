@@ -98,15 +98,15 @@ def check(conditions: Iterable[Any], features: Mapping[str, str],
             if words in (["compound"], ["not", "compound"]):
                 checked.append(Condition("compound", "=", len(words) == 1))
             else:
-                errors.append(f"cannot read condition '{given}'")
+                errors.append(f"no condition: '{given}'")
             continue
         if not isinstance(given, (tuple, list)) or len(given) != 3:
-            errors.append(f"cannot read condition '{given}'")
+            errors.append(f"no condition: '{given}'")
             continue
         key, operator, value = given
         key = ALIASES.get(str(key).lower(), str(key).lower())
         operator = " ".join(str(operator).lower().split())
-        bad_operator = f"operator of '{key}' not ok: '{operator}'"
+        bad_operator = f"'{key}' cannot be compared by '{operator}'"
 
         if key in NUMERIC_KEYS or key in RELATIVE_KEYS or key == "top":
             if operator not in (NUMERIC_OPERATORS if key != "top" else ("=",)):
@@ -117,7 +117,7 @@ def check(conditions: Iterable[Any], features: Mapping[str, str],
             except (TypeError, ValueError, OverflowError):
                 number = math.nan
             if not math.isfinite(number):
-                errors.append(f"value of '{key}': '{value}' is not a number")
+                errors.append(f"'{key}' is compared with numbers, and '{value}' is none")
                 continue
             if key == "top":
                 top = int(number)
@@ -138,7 +138,7 @@ def check(conditions: Iterable[Any], features: Mapping[str, str],
             else:
                 errors.append(bad_operator)
         else:
-            errors.append(f"key '{key}' not ok")
+            errors.append(f"there is no search key '{key}'")
     if available is not None:
         wanted = [c.key for c in checked] + (["top"] if top is not None else [])
         errors += [f"the result has no column for '{key}'" for key in dict.fromkeys(wanted)
@@ -242,6 +242,12 @@ def condition_column(condition: Condition, columns: Mapping[str, Column],
     return string(columns[key], operator, value)
 
 
+def columns_of(condition: Condition) -> str:
+    """The stored column that a condition on the default view is held against."""
+    key = condition.key.removeprefix("rel") if condition.key in RELATIVE_KEYS else condition.key
+    return {"compound": "lemma", "pos": "posx", "frequency": "frequencyx", **dict.fromkeys(FORM_KEYS, "form")}.get(key, key)
+
+
 def all_of(conditions: Iterable[Condition], columns: Mapping[str, Column],
            totals: Mapping[str, int]) -> Column:
     """All conditions together."""

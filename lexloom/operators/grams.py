@@ -50,7 +50,7 @@ def nonword_bigrams(words: DataFrame, freqs: DataFrame, denominator: str = "leng
     ``length`` or, as for lexicon words, by its number of ``pairs``.
     """
     if denominator not in ("length", "pairs"):
-        raise ValueError(f"denominator not ok: '{denominator}'")
+        raise ValueError(f"divide by length or pairs, not by '{denominator}'")
     items = words.groupBy("item").agg(F.max("position").alias("order"))
     rows = items.select("item", "order", F.explode_outer(bigrams(F.col("item"))).alias("gram"))
     sums = (lookup_join(rows, keep(freqs, "bigrams"), ["gram"])
@@ -71,7 +71,7 @@ def gram_test(kind: str, gram: str) -> Column:
         return has_trigrams(form) & (final_trigram(form) == gram)
     if kind == "bigram":
         return F.contains(form, F.lit(gram))
-    raise ValueError(f"gram kind not ok: '{kind}'")
+    raise ValueError(f"grams are initial, final or bigram, not '{kind}'")
 
 
 def gram_contributions(forms: DataFrame, grams: Sequence[str], kind: str = "bigram") -> DataFrame:

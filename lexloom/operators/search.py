@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions.feats import EMPTY
-from lexloom.functions.predicates import ALIASES, all_of, check, names_auxiliary
+from lexloom.functions.predicates import ALIASES, Condition, all_of, check, columns_of, names_auxiliary
 from lexloom.operators.indexed import candidate_forms, is_long, with_long_list
 from lexloom.operators.lookup import lookup_join
 from lexloom.sources.store import Lexicon
@@ -99,7 +99,7 @@ def search(lexicon: Lexicon, conditions: Iterable[Any], order_by: str = "frequen
     """
     rows = matching(lexicon, conditions).select(result_columns(lexicon.features, lemmas, grams))
     if _shown(order_by) not in rows.columns:
-        raise ValueError(f"Order column '{order_by}' not ok")
+        raise ValueError(f"cannot order by '{order_by}': the result has no such column")
     return _first(rows, _ordering(order_by, ascending), limit, ordered)
 
 
@@ -119,7 +119,7 @@ def search_wordlist(lexicon: Lexicon, items: DataFrame, kind: str, limit: int |
     With indexes the list goes to the buckets of the search table's copy, and only the list moves.
     """
     if kind not in ("form", "lemma"):
-        raise ValueError(f"wordlist type not ok: '{kind}'")
+        raise ValueError(f"a word list holds forms or lemmas, not '{kind}'")
     key = "lemmac" if kind == "lemma" else "form"
     listed = items.groupBy(F.col("item").alias(key)).agg(F.max("position").alias("order"))
     if lexicon.indexes:
@@ -169,6 +169,12 @@ def aggregate(lexicon: Lexicon, keys: Sequence[str], operator: str = "sum",
     if errors:
         raise ValueError("\n".join(errors))
     conditions = list(conditions)
+    checked = check(conditions, lexicon.features)[0] if conditions else []
+    stored = _stored_sums(lexicon, names, checked)
+    if stored is not None:
+        total = F.sum("frequency" if operator == "sum" else "rows").cast("long").alias("agg")
+        group = [(F.col("pos") if name == "posx" else F.col(name)).alias(_shown(name)) for name in names]
+        return _first(stored.groupBy(group).agg(total), [F.col("agg").desc(), *map(_shown, names)], limit, True)
     rows = matching(lexicon, conditions) if conditions else _view(lexicon, raw=False)
     if "posx" in names:
         rows = rows.withColumn("posx", F.when(F.col("pos") == "AUX", "VERB").otherwise(F.col("pos")))
@@ -178,6 +184,18 @@ def aggregate(lexicon: Lexicon, keys: Sequence[str], operator: str = "sum",
                   [F.col("agg").desc(), *map(_shown, names)], limit, True)
 
 
+def _stored_sums(lexicon: Lexicon, names: Sequence[str], checked: Sequence[Condition]) -> DataFrame | None:
+    """The smallest stored sums that hold all keys and all that is asked of the rows, if there are any."""
+    if not lexicon.indexes or names_auxiliary(checked) or any(map(is_long, checked)):
+        return None
+    needed = {"posx" if name == "pos" else name for name in names} | set(map(columns_of, checked))
+    sums = lexicon.indexes.smallest(needed)
+    if sums is None:
+        return None
+    sums = sums.withColumnsRenamed({"posx": "pos", "frequencyx": "frequency"})
+    return sums.where(all_of(checked, _columns(sums), lexicon.totals))
+
+
 def relative_frequencies(lexicon: Lexicon, result: DataFrame, scale: float = 1e6,
                          drop: bool = False) -> DataFrame:
     """Add ``rel*`` columns, per million by default, each after its source column.
@@ -203,7 +221,7 @@ def column_groups(result: DataFrame, lemma: bool = True, form: bool = True, gram
     all groups always stay.
     """
     if frequencies not in ("absolute", "relative", "both"):
-        raise ValueError(f"frequency choice not ok: '{frequencies}'")
+        raise ValueError(f"show absolute, relative or both frequencies, not '{frequencies}'")
     starts = {"lemma": lemma, "form": form, "bigramfreq": grams, "relbigramfreq": grams,
               "feats": features}
     shown, chosen = True, []

@@ -2,12 +2,15 @@
 
 ``grams`` holds the letter trigrams of every form, with marks for its beginning and end, sorted, so that a
 filter on trigrams reads only their rows. ``by_form`` and ``by_lemmac`` are copies of the search table in Spark
-buckets: a join on the form or the lemma moves the other side only.
+buckets: a join on the form or the lemma moves the other side only. ``sums_*`` are a small lattice of
+group-bys: frequency and number of rows by features, by lemma properties and by both.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,14 +23,30 @@ BUCKET_ROWS, LEAST_BUCKETS = 500_000, 8
 #: Small row groups, so that a filter on sorted trigrams skips most of them.
 GROUP_BYTES = 4 << 20
 BUCKETED = {"by_form": "form", "by_lemmac": "lemmac"}
+LEMMA_KEYS = ["lemma", "lemmac", "posx", "lemmafreq", "lemmalen", "comparts", "amblemma"]
+
+
+def lattice(features: Iterable[str]) -> dict[str, list[str]]:
+    """The stored group-bys and their keys."""
+    by_features = ["posx", *features]
+    return {"sums_features": by_features, "sums_lemmas": LEMMA_KEYS,
+            "sums_both": [*LEMMA_KEYS, *(f for f in by_features if f not in LEMMA_KEYS)]}
 
 
 class Indexes:
     """The opened indexes of a lexicon."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, features: Iterable[str]):
         self.grams = spark.read.parquet(f"{path}/indexes/grams")
         self.bucketed = {column: _bucketed(spark, path, name) for name, column in BUCKETED.items()}
+        sizes = {row.name: row.groups for row in spark.read.parquet(f"{path}/indexes/sizes").collect()}
+        #: Stored sums, smallest first.
+        self.sums = [(set(keys), spark.read.parquet(f"{path}/indexes/{name}")) for name, keys in
+                     sorted(lattice(features).items(), key=lambda entry: sizes[entry[0]])]
+
+    def smallest(self, columns: Iterable[str]) -> DataFrame | None:
+        """The smallest stored sums that have all these columns as keys."""
+        return next((df for keys, df in self.sums if set(columns) <= keys), None)
 
 
 def _table_name(path: str) -> str:
@@ -66,6 +85,15 @@ def build_indexes(lexicon: Lexicon, buckets: int | None = None) -> Lexicon:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         (wide.repartition(buckets, column).write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
          .option("path", f"{folder}/{name}").format("parquet").saveAsTable(table))
+    # Each node of the lattice comes from a finer one, and twins of a verb and its auxiliary count once.
+    rows, sizes = wide.where("primary").withColumn("rows", F.lit(1).cast("long")), []
+    for name, keys in sorted(lattice(lexicon.features.values()).items(), key=lambda entry: -len(entry[1])):
+        sums = keep(rows.groupBy(keys).agg(F.sum("frequencyx").alias("frequencyx"), F.sum("rows").alias("rows")),
+                    path=f"{folder}/{name}")
+        if not sizes:
+            rows = sums
+        sizes.append(sums.agg(F.count("*").alias("groups")).select(F.lit(name).alias("name"), "groups"))
+    keep(reduce(DataFrame.unionByName, sizes), path=f"{folder}/sizes")
     keep(spark.range(1).select(F.lit(buckets).alias("buckets")), path=f"{folder}/buckets")
     complete(spark, folder)
     return open_indexed(spark, path)
@@ -75,5 +103,5 @@ def open_indexed(spark: SparkSession, path: str) -> Lexicon:
     """Open a stored lexicon with its indexes, if they are finished."""
     lexicon = Lexicon.load(spark, path)
     if finished(spark, f"{path}/indexes"):
-        lexicon.indexes = Indexes(spark, path)
+        lexicon.indexes = Indexes(spark, path, lexicon.features.values())
     return lexicon

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,10 +24,23 @@ UNNAMED = {"form": 0, "token_id": 1, "lemma": 2, "upos": 4, "feats": 5}
 ATTRIBUTES = {"token_id": "ref", "form": "word", "lemma": "lemma", "upos": "pos", "feats": "msd"}
 
 
+HEADER = re.compile(r"positional-attributes.*?:\s+(.*)/")
+
+
+def _places(names: str) -> str:
+    """Where a header's attributes put each token column, counted from 0; nothing where it lacks one."""
+    listed = names.split()
+    return ",".join(str(listed.index(a)) if a in listed else "" for a in ATTRIBUTES.values())
+
+
 def _header(lines: pa.Array) -> pa.Array:
-    """The attribute names of header comments, null for other lines."""
-    found = pc.extract_regex(lines, r"positional-attributes.*?:\s+(?P<names>.*)/")
-    return pc.struct_field(found, 0)
+    """The places of the token columns from header comments, null for other lines."""
+    comments = pc.and_(pc.starts_with(lines, "<!--"), pc.match_substring(lines, "positional-attributes"))
+    out = [None] * len(lines)
+    for i in np.flatnonzero(comments.to_numpy(zero_copy_only=False)).tolist():
+        found = HEADER.search(lines[i].as_py())
+        out[i] = found and _places(found[1])
+    return pa.array(out, pa.string())
 
 
 def _marks(lines: pa.Array) -> np.ndarray:
@@ -43,25 +57,25 @@ def _lines(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFra
 
 
 def _fields(lines: DataFrame, attributes: Sequence[str] | None) -> DataFrame:
-    """Token columns of the lines; ``header`` holds the names a file gives, if any."""
+    """Token columns of the lines; ``header`` holds their places in the file, if it names them."""
     rows = lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("<")))
+    keys = [name for name in ("file", "sent_id") if name in rows.columns]
     if attributes is None:
-        names = F.split(F.trim("header"), r"\s+")
+        places = F.split("header", ",")
     else:
-        names = F.array(*[F.lit(a) for a in attributes])
-    keys = [name for name in ("file", "sent_id") if name in rows.columns]
-    rows = rows.withColumn("attributes", names)
-    rows = rows.select(*keys, "attributes", F.explode(F.array(F.split("value", "\t"))).alias("fields"))
-
-    def column(name: str):
-        at = F.array_position("attributes", ATTRIBUTES[name]).cast("int")
-        named = F.get("fields", at - 1)
+        places = F.split(F.lit(_places(" ".join(attributes))), ",")
+    places = F.transform(places, lambda p: F.when(p != "", p.cast("int")))
+    rows = rows.select(*keys, F.explode(F.array(F.struct(
+        places.alias("places"), F.split("value", "\t").alias("fields")))).alias("line"))
+    places, fields = F.col("line.places"), F.col("line.fields")
+
+    def column(place: int, name: str):
+        named = F.get(fields, F.get(places, F.lit(place)))
         if name == "feats":
             named = equals_for_underscores(named)
-        unnamed = F.get("fields", F.lit(UNNAMED[name]))
-        return F.when(F.col("attributes").isNull(), unnamed).otherwise(named).alias(name)
+        return F.when(places.isNull(), F.get(fields, F.lit(UNNAMED[name]))).otherwise(named).alias(name)
 
-    return rows.select(*keys, *[column(name) for name in ATTRIBUTES])
+    return rows.select(*keys, *[column(i, name) for i, name in enumerate(ATTRIBUTES)])
 
 
 def read_vrt(spark: SparkSession, path: str | Sequence[str],
@@ -86,7 +100,9 @@ def read_vrt_tokens(spark: SparkSession, path: str | Sequence[str],
     lines = _lines(spark, path, glob)
     if attributes is not None:
         return _fields(lines.drop("file", "block"), attributes)
-    names = F.regexp_extract("value", r"positional-attributes.*?:\s+(.*)/", 1)
-    headers = (lines.where(F.contains("value", F.lit("positional-attributes")))
-               .groupBy("file").agg(F.min_by(names, "block").alias("header")))
+    names = F.split(F.trim(F.regexp_extract("value", HEADER.pattern, 1)), r"\s+")
+    places = F.array_join(F.array(*[F.coalesce(F.nullif(F.array_position(names, a) - 1, F.lit(-1)).cast("string"), F.lit(""))
+                                    for a in ATTRIBUTES.values()]), ",")
+    headers = (lines.where(F.startswith("value", F.lit("<!--")) & F.contains("value", F.lit("positional-attributes")))
+               .groupBy("file").agg(F.min_by(places, "block").alias("header")))
     return _fields(lookup_join(lines, keep(headers, "headers"), ["file"]), None).drop("file")

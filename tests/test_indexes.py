@@ -164,3 +164,16 @@ def test_long_lists(spark, pair, monkeypatch, key, operator):
     got = rows_of(long)
     monkeypatch.setattr(indexed, "LONG_LIST", 10_000)
     assert got == rows_of(search.matching(pair[0], conditions))
+
+
+@pytest.mark.parametrize("keys,operator,conditions,stored", [
+    (["pos", "case"], "sum", [], "sums_features"), (["clitic"], "count", [("pos", "=", "noun")], "sums_features"),
+    (["lemma"], "sum", [("lemmafreq", ">", 3), "not compound"], "sums_lemmas"), (["posx"], "count", [], "sums_"),
+    (["lemma", "number"], "count", [("clitic", "in", "kin"), ("rellemmafreq", ">", 5)], "sums_both"),
+    (["form"], "sum", [], None), (["pos"], "sum", [("pos", "in", "aux,verb")], None), (["pos"], "sum", [("len", ">", 3)], None)])
+def test_stored_sums(pair, keys, operator, conditions, stored):
+    plain, with_indexes = pair
+    got = search.aggregate(with_indexes, keys, operator, conditions)
+    assert got.collect() == search.aggregate(plain, keys, operator, conditions).collect()
+    text = plan(got)
+    assert f"indexes/{stored}" in text if stored else "indexes/sums" not in text

@@ -64,9 +64,11 @@ def test_all_errors_at_once(lexicon):
     with pytest.raises(ValueError) as caught:
         s.search(lexicon, [("nouncase", "in", "ill,gen"), ("foo", "=", 0), ("len", ">", "a"), "naat compound",
                            ("len", "~=", 10), "len<10", ("start", "like", "a")])
-    for part in ("'foo' not ok", "'a' is not a number", "'naat compound'", "'len' not ok: '~='", "'len<10'",
-                 "'start' not ok: 'like'"):
-        assert part in str(caught.value)
+    lines = str(caught.value).splitlines()
+    for key, value in (("'foo'", ""), ("'len'", "'a'"), ("'naat compound'", ""), ("'len'", "'~='"), ("'len<10'", ""),
+                       ("'start'", "'like'")):
+        assert any(key in line and value in line for line in lines)
+    assert len(lines) == 6
     for nothing in ([], [("top", "=", 2)]):
         with pytest.raises(ValueError):
             s.search(lexicon, nothing)
@@ -180,9 +182,9 @@ def test_refilter_of_partial_results(lexicon):
 
 @pytest.mark.parametrize("value", ["nan", "inf", float("-inf"), 10 ** 400, None])
 def test_numbers_that_are_none(lexicon, value):
-    with pytest.raises(ValueError, match="not a number"):
+    with pytest.raises(ValueError, match="number"):
         s.matching(lexicon, [("frequency", "<", value)])
-    with pytest.raises(ValueError, match="not a number"):
+    with pytest.raises(ValueError, match="number"):
         s.refilter(lexicon, s.matching(lexicon, [("len", ">", 0)]), [("top", "=", value)])
 
 
