@@ -61,6 +61,8 @@ def main() -> None:
     timed("store_lexicon", lambda: fixture.lexicon(spark, sf_dir))
     timed("stored_forms", lambda: fixture.stored_forms(spark, sf_dir))
     timed("store_indexes", lambda: fixture.indexed_lexicon(spark, sf_dir))
+    # The base that later words are merged into: the same work as store_lexicon, so not timed again.
+    fixture.earlier_lexicon(spark, sf_dir)
     for name in HEADLINE:
         run = queries()[name]
         timed(name, lambda: run(spark, sf_dir).write.format("noop").mode("overwrite").save(), again=True)
