@@ -77,10 +77,10 @@ from (select *, row_number() over (partition by n order by score desc, vec_id) a
 where rank <= 5
 """
 
-# Fixed values of op5_chat_format: budget 1024, history 192, room for the system turn 128, so a
-# cell of 352; four tokens for the marks of a turn; 23 characters of marks for each turn, 7 for each window.
+# Fixed values of op5_chat_format: budget 1024, history 192, regions of 64 budgets; four tokens for
+# the marks of a turn; 23 characters of marks for each turn, 7 for each window.
 _CHAT = """
-with given as (
+with recursive given as (
   select conv_id, turn, role, text from conversations union all
   select -1, i, case when i = 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]'
   from range(2) t(i)),
@@ -96,18 +96,35 @@ sized as (
        + length(role) + length(role) - length(replace(role, '\\', ''))
        + len(regexp_extract_all(role, '</?s>|<\\|(?:turn|text|end)\\|>|\\[/?INST\\]')) as chars
   from turns),
+summed as (
+  select conv_id, seq, sys, chars, case when sys then 0 else size end as counted,
+    max(case when sys then size else 0 end) over (partition by conv_id) as system_size,
+    coalesce(sum(case when sys then 0 else size end) over (partition by conv_id order by seq
+      rows between unbounded preceding and 1 preceding), 0) as start from sized),
 placed as (
-  select *, coalesce(sum(case when sys then 0 else size end) over (partition by conv_id order by seq
-    rows between unbounded preceding and 1 preceding), 0) as start from sized),
-celled as (select *, start // 352 as cell from placed),
-spans as (select conv_id, cell, min(case when not sys then start end) as span_start,
-                 sum(chars) as own_chars from celled group by conv_id, cell),
+  select *, greatest(0, least(192, (1024 - system_size) // 2)) as repeat from summed),
+begins as (
+  select conv_id, seq as first, start from placed where seq = 0
+  union all
+  select p.conv_id, min(p.seq), min(p.start)
+  from begins b join placed p on p.conv_id = b.conv_id
+    and p.seq > b.first + case when b.first = 0 and p.system_size > 0 then 1 else 0 end
+    and (p.start + p.counted > b.start + 1024 - p.system_size - case when b.first = 0 then 0 else p.repeat end
+         or p.start // 65536 > b.start // 65536)
+  group by p.conv_id, b.first),
+bounds as (
+  select *, lead(first) over (partition by conv_id order by first) as next from begins),
+spans as (
+  select b.conv_id, b.first, b.start, sum(p.chars) as own_chars,
+    greatest(0, least(max(p.repeat), 1024 - max(p.system_size) - sum(p.counted))) as repeat
+  from bounds b join placed p on p.conv_id = b.conv_id and p.seq >= b.first
+    and (b.next is null or p.seq < b.next) group by b.conv_id, b.first, b.start),
 extra as (
-  select s.conv_id, s.cell, sum(c.chars) as chars from spans s join celled c on s.conv_id = c.conv_id
-  where c.cell < s.cell and (c.sys or c.start >= s.span_start - 192) group by s.conv_id, s.cell),
+  select s.conv_id, s.first, sum(c.chars) as chars from spans s join placed c on s.conv_id = c.conv_id
+  where c.seq < s.first and (c.sys or c.start >= s.start - s.repeat) group by s.conv_id, s.first),
 lengths as (
   select conv_id, cast(sum(7 + own_chars + coalesce(chars, 0)) as bigint) as formatted_chars
-  from spans left join extra using (conv_id, cell) group by conv_id),
+  from spans left join extra using (conv_id, first) group by conv_id),
 said as (
   select conv_id, count(*) as n_turns,
          string_agg(role || chr(10) || text || chr(10), '' order by seq) as said,

@@ -41,7 +41,7 @@ def test_windows(spark):
     rows = [(1, 0, "system", "be brief")]
     rows += [(1, i, "user" if i % 2 else "assistant", f"t{i} " + "word " * (i * 7 % 40)) for i in range(1, 120)]
     rows += [(2, 5, "assistant", "only"), (3, 1, "user", "long " * 3000), (3, 2, "assistant", "<|end|>")]
-    windows, got = read(spark, rows, budget=300, history=60, system_room=20)
+    windows, got = read(spark, rows, budget=300, history=60)
     expected = plain(rows)
     for conv in (1, 2, 3):
         own = [w for w in got if w.conv_id == conv]
@@ -78,3 +78,47 @@ def test_edges(spark):
     assert chat.chat_digests(chat.format_chats(df.limit(0))).collect() == []
     with pytest.raises(ValueError):
         chat.format_chats(df, budget=100)
+
+
+def _greedy(sizes, system, budget, history):
+    """First turns of the windows of one conversation: as many turns as fit, regions begin anew."""
+    repeat = max(0, min(history, (budget - system) // 2))
+    firsts, at, start, region = [], 0, 0, None
+    for i, size in enumerate(sizes):
+        room = budget - system - (repeat if firsts and firsts[-1] else 0)
+        if region is None or at // (64 * budget) > region or (at > start and at + size > start + room):
+            firsts.append(i)
+            start, region = at, at // (64 * budget)
+        at += size
+    return firsts
+
+
+@pytest.mark.parametrize("system", [0, 5, 90, 400])
+def test_spans_are_as_long_as_fit(spark, system):
+    """Windows within the budget but for single turns; short conversations whole; long ones in regions."""
+    import random
+
+    rng, budget, history = random.Random(system), 100, 30
+    sizes = {1: [4 + rng.randrange(60) for _ in range(400)], 2: [20, 30, 40 - min(system, 40)], 3: [300, 5, 5, 300],
+             4: [96, 4], 5: [4] * 30}
+    rows = [(c, i + 1, "user", "w " * (n - 4)) for c, s in sizes.items() for i, n in enumerate(s)]
+    if system:
+        rows += [(c, 0, "system", "s " * (system - 4)) for c in sizes]
+    windows, got = read(spark, rows, budget=budget, history=history)
+    for c, of in sizes.items():
+        own = [w for w in got if w.conv_id == c]
+        shift = 1 if system else 0
+        expected = [f + shift if f else 0 for f in _greedy(of, system, budget, history)]
+        assert [w.window for w in own] == expected
+        for n, w in enumerate(own):
+            texts = [b.split("<|text|>") for b in w.formatted[3:-4].split("<|turn|>")[1:]]
+            used = [4 + len(t.removesuffix("<|end|>").split()) for _, t in texts]
+            single = len(w.turns) == (2 if system and n == 0 else 1)
+            assert sum(used) <= budget or single
+            assert (texts[0][0] == "system") == bool(system)
+            if sum(used) > budget:  # then nothing is repeated but the system turn
+                assert w.n_context == (shift if n else 0)
+            elif n:
+                assert sum(used[shift:w.n_context]) <= history
+        if system + sum(of) <= budget:
+            assert len(own) == 1
