@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lexloom.llm.store import Workspace, table
+from lexloom.llm.store import Workspace, carried, table
 
 #: Tokens of a template window.
 WINDOW = 8
@@ -210,11 +210,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None
     Rows go by their text, so rows with a null or repeated id are judged by what they say.
     """
     work = work or Workspace(docs.sparkSession, "clean")
-    keyed = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = contaminated(keyed.select(F.col("__node").alias("doc_id"), "text"), items, work)
+    there, back = carried(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(*there, F.xxhash64(text).alias("__node"))
+    found = contaminated(docs.select(F.xxhash64(text).alias("doc_id"), "text"), items, work)
     bad = work.keep(found.select(F.col("doc_id").alias("__node")).distinct(), "bad")
     few = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(bad) if few else bad, "__node", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(bad) if few else bad, "__node", "left_anti").select(*back)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

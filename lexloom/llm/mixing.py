@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lexloom.llm.store import Workspace, table
+from lexloom.llm.store import Workspace, carried, table
 
 #: Levels of the tree, from the root down.
 LEVELS = ("domain", "lang", "source")
@@ -21,7 +21,6 @@ MAX_EPOCHS = 4
 SEED = 17
 _BUCKET_DIGITS = 3  # a leaf's order is cut into 16 ** 3 ranges of its hash
 _WIDE = "decimal(38,0)"
-_OWN = ("_key", "_tokens", *(f"_l{i}" for i in range(8)))
 
 
 def domain_of(source: Column) -> Column:
@@ -39,11 +38,11 @@ def word_count(text: Column) -> Column:
 
 
 def _marked(docs: DataFrame, levels: Mapping[str, Column], tokens: Column) -> DataFrame:
-    """Rows with their place in the tree, tokens and a key for the seeded orders."""
+    """Carried rows with their place in the tree, tokens and a key for the seeded orders."""
     if "text" not in docs.columns or "doc_id" not in docs.columns:
         raise ValueError("documents have doc_id and text")
     content = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select("*", *(
+    return docs.select(*carried(docs)[0], *(
         F.coalesce(c.cast("string"), F.lit("")).alias(f"_l{i}") for i, c in enumerate(levels.values())),
         tokens.alias("_tokens"),
         F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), content).alias("_key"))
@@ -139,14 +138,13 @@ def mix_sources(docs: DataFrame, levels: Mapping[str, Column], budget: int | tup
 
     A null level is the empty name. Null and empty texts have no tokens and come along with each
     whole epoch. Repeated rows are taken one by one. Zero or negative budgets and empty tables
-    give an empty result. Columns named ``epoch``, ``tokens_taken`` or like the inner ones
-    are replaced.
+    give an empty result. Columns named ``epoch`` or ``tokens_taken`` are replaced, all others go along.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "mixing")
     weights = WEIGHTS if weights is None else weights
-    docs = docs.drop("epoch", "tokens_taken", "_order", *_OWN)
-    given = docs.columns
+    docs = docs.drop("epoch", "tokens_taken")
+    _, given = carried(docs)
     path = [f"_l{i}" for i in range(len(levels))]
     rows = _marked(docs, levels, word_count(F.col("text")) if tokens is None else tokens.cast("long"))
     slim = work.keep(rows.select(*path, "_tokens", "_key"), "tokens")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexloom.llm.sample import labelled_sample, remainder
-from lexloom.llm.store import Workspace, table
+from lexloom.llm.store import Workspace, carried, table
 
 THRESHOLD = 0.3
 HELD_OUT_PARTS, HELD_OUT = 5, 0
@@ -183,10 +183,10 @@ def train(sample: DataFrame) -> bytes:
     return pickle.dumps(model.p)
 
 
-def score_texts(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
+def score_texts(docs: DataFrame, model: bytes, name: str = "score", text_column: str = "text") -> DataFrame:
     """``docs`` with a column ``name``: the probability that the whole text has label 1."""
     kept = [c for c in docs.columns if c != name]
-    text = kept.index("text")
+    text = kept.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network()
@@ -209,6 +209,13 @@ def score_texts(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame
     return inner.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: bytes) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; same columns, whatever their names."""
+    there, back = carried(docs)
+    scored = score_texts(docs.select(*there), model, "score", f"_c{docs.columns.index('text')}")
+    return scored.where(F.col("score") >= THRESHOLD).select(*back)
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows that may be learned from: all but the held-out fifth."""
     return remainder(doc_id, HELD_OUT_PARTS) != HELD_OUT

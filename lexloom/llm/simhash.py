@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexloom.llm.components import components
-from lexloom.llm.store import Workspace, table
+from lexloom.llm.store import Workspace, carried, table
 
 BITS = 64
 SEED = 42
@@ -200,9 +200,9 @@ def drop_near_duplicates(docs: DataFrame, work: Workspace | None = None,
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
             .select("first.*").distinct())
     kept = work.keep(kept, "kept")
-    rows = docs.withColumns({"__none": F.col("doc_id").isNull(),
-                             "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-                             "__content": content})
+    there, back = carried(docs)
+    rows = docs.select(*there, F.col("doc_id").isNull().alias("__none"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), content)
     keys = ["__none", "__id", "__content"]
     # Only rows that repeat both id and text meet each other to leave one of them.
     repeated = work.keep(rows.groupBy(*keys).count().where("count > 1").select(*keys), "repeated")
@@ -210,10 +210,9 @@ def drop_near_duplicates(docs: DataFrame, work: Workspace | None = None,
         kept = F.broadcast(kept)
     chosen = rows.join(kept, keys, "left_semi")
     if repeated.isEmpty():
-        return chosen.select(*docs.columns)
+        return chosen.select(*back)
     once = chosen.join(repeated, keys, "left_anti")
-    return once.unionByName(chosen.join(repeated, keys, "left_semi").dropDuplicates(keys)).select(
-        *docs.columns)
+    return once.unionByName(chosen.join(repeated, keys, "left_semi").dropDuplicates(keys)).select(*back)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

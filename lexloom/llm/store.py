@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 class Workspace:
@@ -46,6 +46,15 @@ class Workspace:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(docs: DataFrame) -> tuple[list[Column], list[Column]]:
+    """The columns of ``docs`` by numbered names, ``_c0`` onwards, and by their own again.
+
+    Operators that return rows as given carry them so, and no column can clash with an inner name.
+    """
+    there = [F.col("`" + name.replace("`", "``") + "`").alias(f"_c{i}") for i, name in enumerate(docs.columns)]
+    return there, [F.col(f"_c{i}").alias(name) for i, name in enumerate(docs.columns)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

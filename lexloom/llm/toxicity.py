@@ -72,8 +72,12 @@ class NoisyOr:
         np.add.at(total, sentence, mix(self.keys[index]))
         return np.unique(total, return_index=True)[1]
 
-    def score(self, text: str | None) -> tuple[float, float, int, int]:
-        """Probability of the text; of its worst sentence, and that sentence's characters."""
+    def score(self, text: str | None) -> tuple[float, float, int, int, list[tuple[int, int, float]]]:
+        """Probability of the text; of its worst sentence, and that sentence's characters; all offenders.
+
+        Offending sentences are those whose own probability reaches the threshold, in order:
+        their first character, the one after their last, and the probability.
+        """
         data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         starts, ends = sentences(data)
         sentence, index = self.sets(data, starts)
@@ -82,11 +86,18 @@ class NoisyOr:
             total = np.logaddexp(0, odds[self.instances(len(starts), sentence, index)]).sum()
         else:
             total = np.logaddexp(0, self.bias)  # minus the log of "no sentence is toxic"
+        chance = 1 / (1 + np.exp(-odds))
         worst = int(odds.argmax())
-        start = len(data[:starts[worst]].tobytes().decode("utf-8", "surrogatepass"))
-        length = len(data[starts[worst]:ends[worst]].tobytes().decode("utf-8", "surrogatepass"))
-        return (float(-np.expm1(-total)), float(1 / (1 + np.exp(-odds[worst]))),
-                start, start + length)
+        chosen = np.union1d(np.flatnonzero(chance >= THRESHOLD), [worst])
+        # Characters before each place where a chosen sentence begins or ends: all but continuation bytes.
+        places = np.stack((starts[chosen], ends[chosen]), axis=1)
+        cuts, leads = np.unique(places), (data & 0xC0) != 0x80
+        chars = np.cumsum([np.count_nonzero(leads[a:b]) for a, b in zip(np.append(0, cuts), cuts)])
+        spans = chars[np.searchsorted(cuts, places)]
+        start, end = spans[np.searchsorted(chosen, worst)]
+        offending = [(int(a), int(b), round(float(p), 6)) for (a, b), p in zip(spans, chance[chosen])
+                     if p >= THRESHOLD]
+        return float(-np.expm1(-total)), float(chance[worst]), int(start), int(end), offending
 
     def fit(self, texts: list[str], labels: list[int]) -> None:
         """Adam with shrinkage on the log loss of documents; sentences have no labels."""
@@ -156,23 +167,26 @@ def train(sample: DataFrame) -> bytes:
 
 
 def score_texts(docs: DataFrame, model: bytes) -> DataFrame:
-    """``doc_id``, ``score`` and the likeliest offending sentence of every text."""
+    """``doc_id``, ``score``, the likeliest offending sentence of every text and all that offend."""
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = NoisyOr()
         vars(scorer).update(pickle.loads(model))
         for batch in batches:
             rows = [scorer.score(x.as_py()) for x in batch.column(1)]
-            total, worst, start, end = zip(*rows) if rows else ((), (), (), ())
+            total, worst, start, end, offending = zip(*rows) if rows else ((), (), (), (), ())
+            offending = [[dict(zip(("start", "end", "score"), s)) for s in spans] for spans in offending]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.round(total, 6), pa.float64()),
                  pa.array(np.round(worst, 6), pa.float64()), pa.array(start, pa.int64()),
-                 pa.array(end, pa.int64())],
-                names=["doc_id", "score", "sentence_score", "sentence_start", "sentence_end"])
+                 pa.array(end, pa.int64()), pa.array(offending, pa.list_(span))],
+                names=["doc_id", "score", "sentence_score", "sentence_start", "sentence_end", "offending"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, sentence_score double, "
-             "sentence_start long, sentence_end long")
+             "sentence_start long, sentence_end long, "
+             "offending array<struct<start: long, end: long, score: double>>")
 
 
 def learnable(doc_id: Column) -> Column:
@@ -181,13 +195,14 @@ def learnable(doc_id: Column) -> Column:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and the worst sentence of every row of ``docs``.
+    """``doc_id, held_out, score, predicted`` and the offending sentences of every row of ``docs``.
 
     The model learns from the labels of a bounded sample of documents outside the held-out
     quarter: a document is clean only if each of its sentences is (noisy-or). It then scores
     whole texts and names the sentence that is likeliest to offend (``sentence_score``, and its
-    characters from ``sentence_start`` to before ``sentence_end``; the first of equals). Only
-    the text is an input.
+    characters from ``sentence_start`` to before ``sentence_end``; the first of equals). ``offending``
+    lists all sentences whose own score reaches ``THRESHOLD``: ``start, end, score`` in text
+    order, so it can be empty in a text of many doubtful ones. Only the text is an input.
 
     Null and empty texts have one empty sentence. Null ids are scored, with a null
     ``held_out``. Repeated rows stay. Without any label of a class all scores are alike.
@@ -198,7 +213,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, work: Workspace | None =
     return scored.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT_PARTS) == HELD_OUT)
                          .alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-                         "sentence_score", "sentence_start", "sentence_end")
+                         "sentence_score", "sentence_start", "sentence_end", "offending")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

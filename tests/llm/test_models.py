@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import quality, toxicity
+from lexloom.llm.sample import labelled_sample
+from lexloom.llm.store import table
+from lexloom.llm.wordhash import words
 from tests.llm.conftest import edge_rows
 
 
@@ -113,3 +120,49 @@ def test_gradient():
             slope = (up - loss()) / 2e-5
             values[i] = old
             assert abs(slope - flat[i]) < 1e-3 + 0.02 * abs(slope), name
+
+
+def noisy_or(model, text):
+    """Score, and spans of offending sentences, one word and one sentence at a time."""
+    weight = dict(zip(model["keys"].tolist(), model["weights"].tolist()))
+    clean, offending, sets, at = 1.0, [], set(), 0
+    data = (text or "").encode()
+    for part in re.findall(rb"[^.!?\n]*[.!?\n]+|[^.!?\n]+\Z", data) or [b""]:
+        known = set()
+        for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", part):
+            known |= {int(h[0]) for h in words(np.frombuffer(word, np.uint8), toxicity.PREFIXES)[2]}
+        known &= weight.keys()
+        odds = model["bias"] + math.fsum(weight[h] for h in known)
+        chance = 1 / (1 + math.exp(-odds))
+        end = at + len(part.decode())
+        if chance >= toxicity.THRESHOLD:
+            offending.append((at, end))
+        if frozenset(known) not in sets:
+            clean *= 1 - chance
+        sets.add(frozenset(known))
+        at = end
+    return 1 - clean, offending
+
+
+def test_toxicity_against_a_plain_version(spark, sf_dir):
+    """Scores and all offending sentences of the given documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(labelled_sample(docs, labels, "toxic", toxicity.learnable(F.col("doc_id"))))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.score_texts(docs, model).collect()
+    assert len(got) == len(texts) and any(len(r.offending) > 1 for r in got)
+    for r in got:
+        score, offending = noisy_or(pickle.loads(model), texts[r.doc_id])
+        assert abs(r.score - score) < 1e-5
+        assert [(s.start, s.end) for s in r.offending] == offending
+
+
+def test_all_offending_sentences(spark, docs, corpus):
+    """Two insults in a text are two spans, also after characters of several bytes."""
+    rows, labels = corpus
+    model = toxicity.train(spark.createDataFrame([(t, y) for (_, t), (_, _, y) in zip(rows, labels)],
+                                                 "text string, label int"))
+    said = ["Bada nena. ", "Ähé 東京 You vile gorx! ", "Bada nena. ", "You awful gorxen! ", "Nada."]
+    r, = toxicity.score_texts(docs([(1, "".join(said))]), model).collect()
+    assert ["".join(said)[s.start:s.end] for s in r.offending] == [said[1], said[3]]
+    assert (r.sentence_start, r.sentence_end) in [(s.start, s.end) for s in r.offending]
