@@ -15,8 +15,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Leaves out the documents that the quality classifier rejects."""
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality",
                              quality.learnable(F.col("doc_id")))
-    scored = quality.score_texts(docs, quality.train(sample), "_quality")
-    return scored.where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    return quality.keep_good(docs, quality.train(sample))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
