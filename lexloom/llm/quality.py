@@ -19,6 +19,7 @@ SIZE = 8  # numbers that stand for a byte
 STEP = 4  # bytes from one position to the next; a filter sees two steps
 FILTERS = 24
 CHUNK = 256  # positions that are max-pooled together
+STRIDE = 128  # positions from one chunk to the next, half a chunk: every position is in two
 LAGS = 40  # the repetition input looks so many bytes back
 LOOK = 32  # and compares so many bytes from a position on
 STEPS, BATCH, RATE = 350, 64, 0.01
@@ -58,8 +59,18 @@ def repetition(data: np.ndarray, start: int, stop: int) -> np.ndarray:
     return best.astype(np.float32) / LOOK
 
 
+def _halves(out: np.ndarray) -> np.ndarray:
+    """The maximum of every ``STRIDE`` positions."""
+    return np.maximum.reduceat(out, np.arange(0, len(out), STRIDE), axis=0)
+
+
+def _chunks(halves: np.ndarray) -> np.ndarray:
+    """The maxima of overlapping chunks, two halves each; a text of one half is one chunk."""
+    return np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
+
+
 class Network:
-    """Byte embedding, filters over two steps, max over each chunk, mean over chunks, one logit."""
+    """Byte embedding, filters over two steps, max over overlapping chunks, mean over these, one logit."""
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -99,14 +110,13 @@ class Network:
                 to = min(end, at + _BLOCK)
                 out = self.positions(data, repetition(data, at, to), at, to)
                 if j - i == 1:
-                    pooled.append(np.maximum.reduceat(out, np.arange(0, to - at, CHUNK), axis=0))
+                    pooled.append(_halves(out))
             if j - i == 1:
-                logits[i] = self._logit(np.concatenate(pooled))
+                logits[i] = self._logit(_chunks(np.concatenate(pooled)))
             else:
                 for k in range(i, j):
                     own = out[first[k] - begin:first[k] - begin + counts[k]]
-                    logits[k] = self._logit(
-                        np.maximum.reduceat(own, np.arange(0, len(own), CHUNK), axis=0))
+                    logits[k] = self._logit(_chunks(_halves(own)))
             i = j
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
@@ -144,7 +154,7 @@ class Network:
         data, first, counts = laid
         begin, n = first[0], counts[0]
         out = self.positions(data, repeat, begin, begin + n)
-        chunks = np.arange(0, n, CHUNK)
+        chunks = np.arange(0, max(1, n - STRIDE), STRIDE)
         where = np.stack([c + out[c:c + CHUNK].argmax(axis=0) for c in chunks])
         top = np.take_along_axis(out, where, axis=0)
         hidden = np.maximum(top, 0).mean(axis=0)
@@ -226,7 +236,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, work: Workspace | None =
 
     The network is trained on a bounded sample (``SAMPLE_ROWS`` of each class, texts up to
     ``SAMPLE_BYTES``) outside the held-out fifth and then scores each whole text: all positions,
-    max-pooled by chunk, averaged over the chunks. Only the text is an input.
+    max-pooled by overlapping chunk, averaged over the chunks. Only the text is an input.
 
     Null and empty texts are scored as an empty text. Null ids are scored, with a null
     ``held_out``. Repeated rows stay. Without any label of a class all scores are alike.

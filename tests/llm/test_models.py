@@ -107,7 +107,8 @@ def test_gradient():
 
     def loss():
         out = network.positions(laid[0], repeat, laid[1][0], laid[1][0] + laid[2][0])
-        pooled = np.maximum.reduceat(out, np.arange(0, len(out), quality.CHUNK), axis=0)
+        chunks = range(0, max(1, len(out) - quality.STRIDE), quality.STRIDE)
+        pooled = np.stack([out[c:c + quality.CHUNK].max(axis=0) for c in chunks])
         return np.log1p(np.exp(-network._logit(pooled)))
 
     for name, g in grads.items():
@@ -166,3 +167,36 @@ def test_all_offending_sentences(spark, docs, corpus):
     r, = toxicity.score_texts(docs([(1, "".join(said))]), model).collect()
     assert ["".join(said)[s.start:s.end] for s in r.offending] == [said[1], said[3]]
     assert (r.sentence_start, r.sentence_end) in [(s.start, s.end) for s in r.offending]
+
+
+def plain_quality(p, text):
+    """The network's probability, one position and one filter at a time."""
+    data = [max(b, 1) for b in (text or "").encode()]
+    n = max(1, -(-len(data) // quality.STEP))
+    data += [0] * (quality.STEP * n + quality._GAP - len(data))
+    byte = lambda i: data[i] if i >= 0 else 0
+    out = []
+    for at in range(0, n * quality.STEP, quality.STEP):
+        repeat = max(sum(byte(i) == byte(i - lag) != 0 for i in range(at, at + quality.LOOK))
+                     for lag in range(1, quality.LAGS + 1)) / quality.LOOK
+        window = np.concatenate([p["embed"][byte(i)] for i in range(at, at + 2 * quality.STEP)])
+        out.append(window @ p["filters"] + repeat * p["repeat"] + p["bias"])
+    pooled = [np.max(out[c:c + quality.CHUNK], axis=0) for c in range(0, max(1, n - quality.STRIDE), quality.STRIDE)]
+    logit = np.maximum(pooled, 0).mean(axis=0) @ p["out"] + p["offset"][0]
+    return 1 / (1 + math.exp(-min(30, max(-30, logit))))
+
+
+def test_quality_against_a_plain_version(spark, sf_dir):
+    """Scores of given documents by a trained network; lengths around one and two chunks."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(labelled_sample(docs, labels, "quality", quality.learnable(F.col("doc_id"))))
+    texts = {r.doc_id: r.text for r in docs.where("length(text) < 4000").collect()}
+    got = quality.score_texts(docs, model).where("length(text) < 4000").collect()
+    assert len(got) == len(texts) > 20
+    p = pickle.loads(model)
+    assert all(abs(r.score - plain_quality(p, texts[r.doc_id])) < 1e-4 for r in got)
+    network = quality.Network()
+    network.p = p
+    sizes = [quality.STEP * (quality.STRIDE * k + d) for k in (1, 2, 3) for d in (-1, 0, 1)]
+    for text in ("".join(chr(97 + i * i % 23) for i in range(size)) for size in sizes):
+        assert abs(network.score([text])[0] - plain_quality(p, text)) < 1e-4
