@@ -36,10 +36,12 @@ def test_changed_questions(spark, docs, work):
             (6, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (7, mixed + "\n" + ITEM), (8, ITEM), (8, ITEM)]
     bench = items(spark, [(10, ITEM), (11, "3 4 5 6 7 8 9 10 11"), (12, "w x y z"), (13, None), (14, ""), (15, "two words")])
     result = decontaminate.contaminated(docs(rows), bench, work)
-    assert found(result) == {(1, 10): "verbatim", (2, 10): "changed", (7, 10): "verbatim", (8, 10): "verbatim"}
-    assert result.count() == 5
+    # Item 11 is made of numbers only; document 6 holds it word for word.
+    assert found(result) == {(1, 10): "verbatim", (2, 10): "changed", (6, 11): "verbatim", (7, 10): "verbatim",
+                             (8, 10): "verbatim"}
+    assert result.count() == 6
     kept = decontaminate.drop_contaminated(docs(rows), bench, work)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
     assert kept.columns == docs(rows).columns
 
 
@@ -62,6 +64,75 @@ def test_short_items(spark, docs, work):
     assert set(found(decontaminate.contaminated(docs(rows), bench, work))) == {(1, 1)}
 
 
+def test_poor_items(spark, docs, work):
+    """Items with few plain words, in capitals or with names at sentence starts."""
+    bench = items(spark, [
+        (1, "Compute 12 + 7 - 3 + 9 * 4 - 2"), (2, "WHAT IS THE NAME OF THE LONGEST RIVER IN EUROPE AND ASIA"),
+        (3, "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"),
+        (4, "What is the capital of France today"), (5, "the train goes on to Berlin and waits there for 5 km more people to come"),
+        (6, "Wie viele Kinder spielen am Montag im Garten von Frau Weber?")])
+    rows = [(1, "Now Compute 12 + 7 - 3 + 9 * 4 - 2 by hand"), (2, "Compute 12 + 7 - 3 + 9 * 4 - 1"),
+            (3, "he asks WHAT IS THE NAME OF THE LONGEST RIVER IN EUROPE AND ASIA then"),
+            (4, "what is the name of the longest river in Europe and Asia"),
+            (5, "Ann has 8 apples. Ann buys 2 more. How many apples does Ann have?"),
+            (6, "Ann has 8 apples. Eve buys 2 more. How many apples does Ann have?"),
+            (7, "we ask What is the capital of France today or so"), (8, "we ask what is the capital of Spain today"),
+            (9, "what is the capital of france today"),
+            (10, "so the train goes on to New York City and waits there for 9 miles more people to come"),
+            (11, "Frage: Wie viele Kinder spielen am Montag im Garten von Frau Weber?")]
+    got = found(decontaminate.contaminated(docs(rows), bench, work))
+    assert got == {(1, 1): "verbatim", (3, 2): "verbatim", (4, 2): "verbatim", (5, 3): "changed",
+                   (7, 4): "verbatim", (8, 4): "changed", (9, 4): "verbatim", (10, 5): "changed", (11, 6): "verbatim"}
+
+
+def test_short_sentences_and_own_units(spark, docs, work):
+    bench = items(spark, [(1, "Why not?"), (2, "the ship sails 5 knots against the wind and the tide")])
+    rows = [(1, "He left. Why not?"), (2, "and why not now"), (3, "WHY NOT"),
+            (4, "the ship sails 7 furlongs against the wind and the tide")]
+    assert found(decontaminate.contaminated(docs(rows), bench, work)).keys() == {(1, 1), (3, 1)}
+    got = found(decontaminate.contaminated(docs(rows), bench, work, units=("knots", "Furlongs")))
+    assert got == {(1, 1): "verbatim", (3, 1): "verbatim", (4, 2): "changed"}
+
+
+def test_against_patterns(spark, docs, work):
+    """Consistent refillings, and no others, as a pattern with back references finds them."""
+    import re
+
+    rng = random.Random(9)
+    names = ["Ann", "Bob Stone", "New York", "Rio", "Élise", "Max"]
+    shapes = ["yesterday {a} gave {n} small red boxes to {b} while {a} kept {m} of them at home for {b}",
+              "in the town of {b} lives {a} who walks {n} km each day and meets {b} after {m} km of road",
+              "the old farm near {a} sold {n} goats and {n} sheep but {b} near {a} sold only {m} goats then"]
+
+    def fill(shape, broken):
+        a, b = rng.sample(names, 2)
+        n, m = rng.sample(range(10, 99), 2)
+        out = shape.format(a="\1", b=b, n=n, m=m)
+        return out.replace("\1", a, 1).replace("\1", "Kim" if broken else a)
+
+    bench = [(i, fill(s, False)) for i, s in enumerate(shapes)]
+    rows = [(d, f"{prose(rng, rng.randrange(30))} and {fill(rng.choice(shapes), d % 3 == 0)} {prose(rng, 20)}")
+            for d in range(60)]
+    slot = {"a": r"[^\W\d_]+(?: [A-ZÉ][^\W\d_]+)*", "b": r"[^\W\d_]+(?: [A-ZÉ][^\W\d_]+)*", "n": r"\d+", "m": r"\d+"}
+
+    def pattern(shape):
+        seen = set()
+
+        def one(m):
+            k = m.group(1)
+            if k in seen:
+                return f"(?P={k})"
+            seen.add(k)
+            return f"(?P<{k}>{slot[k]})"
+
+        return re.compile(re.sub(r"\{(\w)\}", one, shape))
+
+    expected = {(d, i): "verbatim" if q in t else "changed"
+                for d, t in rows for i, q in bench if pattern(shapes[i]).search(t)}
+    assert 35 <= len(expected) <= 45
+    assert found(decontaminate.contaminated(docs(rows), items(spark, bench), work)) == expected
+
+
 def test_edges(spark, docs, work):
     edges = edge_rows()
     assert found(decontaminate.contaminated(docs(edges), items(spark, [(1, ITEM)]), work)) == {}
