@@ -31,11 +31,11 @@ INSIDE, ALL_NAMES, NO_NAMES, VALUES, SENTENCE = range(5)
 
 # Numbers with their signs inside, other words, and what ends a sentence.
 _TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{N}]+|[.!?\n]"
-_ENDS = r"('.', '!', '?', '\n')"
+_END = "({0} < '0' or {0} = '?')"
 
 
 def words_of(rows: DataFrame, key: str, units: Sequence[str] = UNITS) -> DataFrame:
-    """``key, words``: each text's words as ``v`` (lower case), ``k`` (kind), ``first``, ``h`` (hash).
+    """``key, words, h``: each text's words as ``v`` (lower case), ``k`` (kind), ``first``; their hashes.
 
     Kinds are ``n`` number, ``u`` unit after a number, ``c`` capitalised and ``w`` any other word;
     ``first`` words begin the text or a sentence. A null text has no words.
@@ -43,17 +43,18 @@ def words_of(rows: DataFrame, key: str, units: Sequence[str] = UNITS) -> DataFra
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     known = ", ".join("'" + u.lower().replace("\\", "\\\\").replace("'", "\\'") + "'" for u in units) or "''"
-    number = r"(ascii({0}) between 48 and 57 or (ascii({0}) > 127 and {0} rlike '^\\p{{N}}'))"
+    # Plain comparisons decide about ASCII words, patterns about others.
+    number = r"(({0} >= '0' and {0} < ':') or ({0} >= '{{' and {0} rlike '^\\p{{N}}'))"
     return rows.select(key, tokens.alias("tokens")).select(key, F.expr(rf"""
         filter(transform(tokens, (x, i) -> named_struct(
             'v', lower(x),
-            'k', case when {number.format("x")} then 'n'
-                when ascii(x) between 65 and 90 or (ascii(x) > 127 and x rlike '^\\p{{Lu}}') then
-                    case when i > 0 and {number.format("tokens[i - 1]")} and lower(x) in ({known}) then 'u' else 'c' end
+            'k', case when i > 0 and tokens[i - 1] < '{{' and tokens[i - 1] >= ':' and x >= 'a' and x < '{{' then 'w'
+                when {number.format("x")} then 'n'
                 when i > 0 and {number.format("tokens[i - 1]")} and lower(x) in ({known}) then 'u'
+                when (x >= 'A' and x < '[') or (x >= '{{' and x rlike '^\\p{{Lu}}') then 'c'
                 else 'w' end,
-            'first', i = 0 or tokens[i - 1] in {_ENDS},
-            'h', xxhash64(lower(x)))), p -> p.v not in {_ENDS})""").alias("words"))
+            'first', i = 0 or {_END.format("tokens[i - 1]")})), p -> not {_END.format("p.v")})""").alias("words")).withColumn(
+        "h", F.transform("words", lambda p: F.xxhash64(p["v"])))
 
 
 def _readings(rows: DataFrame) -> DataFrame:
@@ -62,19 +63,18 @@ def _readings(rows: DataFrame) -> DataFrame:
     A run of capitalised words is one name. The arrays ``h`` and ``h0`` to ``h2`` hold the hashes alone,
     ``g`` each word's place if every run counts as one word, so that a longer name moves no place.
     """
-    for reading, name in ((INSIDE, "p.k = 'c' and not p.first"), (ALL_NAMES, "p.k = 'c'"), (NO_NAMES, "false")):
+    held = f"case when p.k = 'w' then h[i] when p.k = 'n' then xxhash64('{NUM}') when p.k = 'u' then xxhash64('{UNIT}')"
+    for reading, name in ((INSIDE, "p.k = 'c' and not p.first"), (ALL_NAMES, "p.k = 'c'")):
         before = name.replace("p.", "words[i - 1].")
         rows = rows.withColumn(f"r{reading}", F.expr(f"""
-            filter(transform(words, (p, i) -> named_struct('i', i,
-                'h', case when p.k = 'n' then xxhash64('{NUM}') when p.k = 'u' then xxhash64('{UNIT}')
-                    when {name} then xxhash64('{NAME}') else p.h end,
-                's', p.k in ('n', 'u') or ({name}),
-                'within', not p.first and {name} and {before})), p -> not p.within)"""))
-    # Arrays of their own: taking a field of all elements inside a lambda would cost a pass each time.
+            filter(transform(words, (p, i) -> if(p.k = 'c' and not p.first and {before}, null, named_struct('i', i,
+                'h', {held} when {name} then xxhash64('{NAME}') else h[i] end,
+                's', p.k in ('n', 'u') or ({name})))), p -> p is not null)"""))
+    rows = rows.withColumn(f"r{NO_NAMES}", F.expr(f"""transform(words, (p, i) -> named_struct('i', i,
+        'h', {held} else h[i] end, 's', p.k in ('n', 'u')))"""))
     rows = rows.withColumn("g", F.expr(f"""flatten(transform(r{ALL_NAMES}, (p, j) ->
         array_repeat(j, coalesce(get(r{ALL_NAMES}, j + 1).i, size(words)) - p.i)))"""))
-    return rows.withColumns({"h": F.transform("words", lambda p: p["h"])} | {
-        f"h{r}": F.transform(f"r{r}", lambda p: p["h"]) for r in (INSIDE, ALL_NAMES, NO_NAMES)})
+    return rows.withColumns({f"h{r}": F.transform(f"r{r}", lambda p: p["h"]) for r in (INSIDE, ALL_NAMES, NO_NAMES)})
 
 
 def _upto(last: str) -> str:
