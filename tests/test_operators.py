@@ -239,3 +239,13 @@ def test_prune_and_merge(spark):
 
 def test_shared_folder_is_stable(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_large_lookup_is_merged_once(spark, monkeypatch):
+    """A table counted too large is neither copied nor broadcast, however small its files are."""
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda *_: False)
+    table = keep(spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("name")))
+    joined = lookup.lookup_join(spark.range(5000).select((F.col("id") % 1500).alias("k")), table, ["k"], "inner")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Generate" not in plan
+    assert joined.count() == 3500
