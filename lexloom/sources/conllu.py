@@ -43,7 +43,10 @@ def read_conllu(spark: SparkSession, path: str | Sequence[str], file_cap: int |
     A first pass counts the starts of each split, which shift the numbers of the next.
     """
     paths, name_filter = _files(spark, path, file_cap, glob)
-    lines = numbered_lines(scan(spark, paths, glob=name_filter), _text_or_blank, every=False)
+    # Whether a line is blank shows in its first bytes, unless it begins with a blank.
+    begin = F.substring("value", 1, 1)
+    mark = F.when(begin > " ", begin).otherwise(F.col("value"))
+    lines = numbered_lines(scan(spark, paths, glob=name_filter).withColumn("mark", mark), _text_or_blank, every=False)
     tokens = lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
     if sentence_cap is not None:
         tokens = tokens.where(F.col("sent_id") <= sentence_cap)

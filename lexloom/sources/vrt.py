@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexloom.functions.feats import equals_for_underscores
 from lexloom.operators.lookup import lookup_join, numbered_lines
@@ -53,18 +53,20 @@ def _marks(lines: pa.Array) -> np.ndarray:
 def _lines(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFrame:
     is_tree = isinstance(path, str) and not path.endswith((".vrt", ".vrt.gz"))
     lines = scan(spark, path, glob=glob if is_tree else None)
-    return lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    ended = F.endswith("value", F.lit("\r"))
+    return lines.withColumn("value", F.when(ended, F.regexp_replace("value", "\r$", "")).otherwise(F.col("value")))
+
+
+def _listed(places: Column) -> Column:
+    """The places as numbers, null for what a file lacks."""
+    return F.transform(F.split(places, ","), lambda p: F.when(p != "", p.cast("int")))
 
 
 def _fields(lines: DataFrame, attributes: Sequence[str] | None) -> DataFrame:
-    """Token columns of the lines; ``header`` holds their places in the file, if it names them."""
+    """Token columns of the lines; ``header`` lists their places in the file, if it names them."""
     rows = lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("<")))
     keys = [name for name in ("file", "sent_id") if name in rows.columns]
-    if attributes is None:
-        places = F.split("header", ",")
-    else:
-        places = F.split(F.lit(_places(" ".join(attributes))), ",")
-    places = F.transform(places, lambda p: F.when(p != "", p.cast("int")))
+    places = F.col("header") if attributes is None else _listed(F.lit(_places(" ".join(attributes))))
     rows = rows.select(*keys, F.explode(F.array(F.struct(
         places.alias("places"), F.split("value", "\t").alias("fields")))).alias("line"))
     places, fields = F.col("line.places"), F.col("line.fields")
@@ -87,7 +89,9 @@ def read_vrt(spark: SparkSession, path: str | Sequence[str],
     attributes are rewritten to ``K=V`` form. The corpus is read twice: once for sentence
     counts and headers, once for the tokens.
     """
-    lines = numbered_lines(_lines(spark, path, glob), _marks, every=True, header=_header)
+    # Sentence tags show in the first letters.
+    lines = _lines(spark, path, glob).withColumn("mark", F.substring("value", 1, len("</sentence")))
+    lines = numbered_lines(lines, _marks, every=True, header=_header, read_header=_listed)
     return _fields(lines.where("inside"), attributes).select(TOKEN_COLUMNS)
 
 
@@ -104,5 +108,5 @@ def read_vrt_tokens(spark: SparkSession, path: str | Sequence[str],
     places = F.array_join(F.array(*[F.coalesce(F.nullif(F.array_position(names, a) - 1, F.lit(-1)).cast("string"), F.lit(""))
                                     for a in ATTRIBUTES.values()]), ",")
     headers = (lines.where(F.startswith("value", F.lit("<!--")) & F.contains("value", F.lit("positional-attributes")))
-               .groupBy("file").agg(F.min_by(places, "block").alias("header")))
+               .groupBy("file").agg(F.min_by(_listed(places), "block").alias("header")))
     return _fields(lookup_join(lines, keep(headers, "headers"), ["file"]), None).drop("file")
