@@ -6,6 +6,9 @@ from contextlib import redirect_stdout
 from io import StringIO
 
 from lexloom.operators import search as s
+from lexloom.operators.words import sum_words
+from lexloom.plans.build import build_lexicon
+from lexloom.storage import new_folder
 
 
 def plan(df) -> str:
@@ -40,3 +43,20 @@ def test_gram_columns_move_no_rows(spark, lexicon):
     from lexloom.operators.grams import gram_contributions
 
     assert "Exchange" not in plan(gram_contributions(lexicon["forms"], ["th", "en"]))
+
+
+def test_accepted_forms_are_read_once(spark):
+    """They may be a whole query over the corpus."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    accepted = spark.createDataFrame([("talo",), ("valo",)], "form string").mapInArrow(note, "form string")
+    rows = sum_words(spark.createDataFrame([("talo", "talo", "NOUN", "_", 5), ("valo", "valo", "NOUN", "_", 3)],
+                                           "lemma string, form string, pos string, feats string, frequency long"))
+    built = build_lexicon(rows, new_folder(spark, "once"), accepted_forms=accepted, auto=20, minimum=2)
+    assert seen.value == 2
+    assert {r.form: r.hood for r in built["forms"].collect()} == {"talo": 1, "valo": 1}

@@ -163,6 +163,14 @@ def test_numbering_does_not_move_text(spark, corpus):
         numbered_lines(scan(spark, str(corpus)), lambda lines: np.ones(len(lines)), every=True, most=1)
 
 
+def test_numbering_returns_numbers_only(spark, corpus):
+    """Lines do not come back from Python, and the path of a file does not go there with each of them."""
+    plan = read_conllu(spark, str(corpus))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    call = plan[plan.index("ArrowEvalPython"):].split("\n")[0]
+    assert "_file#" in call and "file_path" not in call
+
+
 HEADER = "<!-- #vrt positional-attributes: ref word lemma pos msd dephead deprel lex/ -->\n"
 
 
