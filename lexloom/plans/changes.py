@@ -231,7 +231,7 @@ class Change:
         wide, in_order = self.wide(features, means)
         if not in_order:
             order = [F.col("frequencyx").desc(), F.col("form")]
-            wide = keep(wide, "rows").repartitionByRange(*order).sortWithinPartitions(*order)
+            wide = wide.sortWithinPartitions(*order)
         wide = put(wide, "wide")
         put(wide.select(*BASE_COLUMNS, *DERIVED_COLUMNS), "lexicon")
         put(self.corpus_totals(), "totals")

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexloom.functions.grams import marked_trigrams
+from lexloom.operators.lookup import fits_broadcast
 from lexloom.sources.store import Lexicon, begin, complete, finished
 from lexloom.storage import keep
 
@@ -80,10 +81,17 @@ def build_indexes(lexicon: Lexicon, buckets: int | None = None) -> Lexicon:
     # Frequent trigrams are spread over partitions by the form.
     (grams.repartitionByRange("gram", "form").sortWithinPartitions("gram", "form")
      .write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/grams"))
+    # Feature columns follow from class and features: they are put back after the rows have moved.
+    values = list(lexicon.features.values())
+    known = lexicon["features"].select("feats", "pos", *values)
+    few = fits_broadcast(known)
     for name, column in BUCKETED.items():
         table = f"{_table_name(path)}_{name}"
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        (wide.repartition(buckets, column).write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
+        moved = (wide.drop(*values) if few else wide).repartition(buckets, column)
+        if few:
+            moved = moved.join(F.broadcast(known), ["feats", "pos"]).select(wide.columns)
+        (moved.write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
          .option("path", f"{folder}/{name}").format("parquet").saveAsTable(table))
     # Each node of the lattice comes from a finer one, and twins of a verb and its auxiliary count once.
     rows, sizes = wide.where("primary").withColumn("rows", F.lit(1).cast("long")), []
