@@ -30,7 +30,8 @@ NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 INSIDE, ALL_NAMES, NO_NAMES, VALUES, SENTENCE = range(5)
 
 # Numbers with their signs inside, other words, and what ends a sentence.
-_TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{N}]+|[.!?\n]"
+_WORD = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{N}]+"
+_TOKEN = _WORD + r"|[.!?\n]"
 _END = "({0} < '0' or {0} = '?')"
 
 
@@ -87,14 +88,29 @@ def _few(width: int | str) -> str:
     return f"least({LITERALS}, {width} - 1)"
 
 
-def benchmark_windows(items: DataFrame, units: Sequence[str] = UNITS) -> DataFrame:
-    """``item_id, at, base, hash, width, reading, vat, windows``: what is looked for of all items.
+def _marks(words: str, first: str, width: str, plain: str) -> str:
+    """What a text with a window must hold: hashes of each two plain words side by side, and of each plain word.
+
+    ``words`` are the hashes, ``first`` the window's place in them, ``plain`` tells of a place ``m`` whether it
+    holds no placeholder. Neighbours in a reading that are no placeholders are neighbours in the text.
+    """
+    places = lambda last: f"sequence({first}, {first} + {last})"
+    pairs = (f"if({width} < 2, cast(array() as array<bigint>), transform(filter({places(f'greatest({width} - 2, 0)')},"
+             f" m -> {plain} and {plain.replace('[m]', '[m + 1]')}), m -> xxhash64({words}[m], {words}[m + 1])))")
+    single = f"transform(filter({places(f'{width} - 1')}, m -> {plain}), m -> xxhash64({words}[m]))"
+    return f"named_struct('pairs', {pairs}, 'words', {single})"
+
+
+def benchmark_windows(items: DataFrame, units: Sequence[str] = UNITS, work: Workspace | None = None) -> DataFrame:
+    """``item_id, at, base, hash, width, reading, vat, marks, windows``: what is looked for of all items.
 
     ``at`` is the word at which a window begins, ``base`` its place with runs as one word and ``vat`` its
     place in its reading. A text shorter than a window is one window of its own width. ``windows`` counts
-    the item's places.
+    the item's places. See ``_marks`` for ``marks``.
     """
-    rows = _readings(words_of(items, "item_id", units))
+    # Stored, as the optimizer would put the readings into the filters below, to be worked out anew for each word.
+    work = work or Workspace(items.sparkSession, "templates")
+    rows = work.keep(_readings(words_of(items, "item_id", units)), "readings")
     parts = []
     for r in (INSIDE, ALL_NAMES, NO_NAMES):
         wide = (rows.withColumn("width", F.least(F.size(f"r{r}"), F.lit(WINDOW)))
@@ -102,28 +118,63 @@ def benchmark_windows(items: DataFrame, units: Sequence[str] = UNITS) -> DataFra
         places = F.explode(F.expr(f"""transform({_upto(f"size(r{r}) - width")}, j -> named_struct(
             'vat', j, 'at', r{r}[j].i, 'base', g[r{r}[j].i], 'template', xxhash64(slice(h{r}, j + 1, width)),
             'plain', size(filter(slice(r{r}, j + 1, width), p -> not p.s)),
-            'valued', xxhash64('values', slice(h, j + 1, width))))""")).alias("w")
+            'valued', xxhash64('values', slice(h, j + 1, width)),
+            'marks', {_marks(f"h{r}", "j", "width", f"not r{r}[m].s")},
+            'valued_marks', {_marks("h", "j", "width", "h[m] is not null")}))""")).alias("w")
         wide = wide.select("item_id", "width", places).withColumn("enough", F.expr(f"w.plain >= {_few('width')}"))
         if r == NO_NAMES:
             parts.append(wide.select("item_id", "width", "w.at", "w.base", "w.vat", F.when(
                 F.col("enough"), F.col("w.template")).otherwise(F.col("w.valued")).alias("hash"), F.when(
-                F.col("enough"), F.lit(r)).otherwise(F.lit(VALUES)).alias("reading")))
+                F.col("enough"), F.lit(r)).otherwise(F.lit(VALUES)).alias("reading"), F.when(
+                F.col("enough"), F.col("w.marks")).otherwise(F.col("w.valued_marks")).alias("marks")))
         else:
             parts.append(wide.where("enough").select(
-                "item_id", "width", "w.at", "w.base", "w.vat", F.col("w.template").alias("hash"), F.lit(r).alias("reading")))
+                "item_id", "width", "w.at", "w.base", "w.vat", F.col("w.template").alias("hash"), F.lit(r).alias("reading"),
+                "w.marks"))
     parts.append(rows.where(F.size("words").between(1, SHORTEST - 1)).select(
         "item_id", F.size("words").alias("width"), F.lit(0).alias("at"), F.lit(0).alias("base"), F.lit(0).alias("vat"),
-        F.xxhash64(F.lit("sentence"), "h").alias("hash"), F.lit(SENTENCE).alias("reading")))
+        F.xxhash64(F.lit("sentence"), "h").alias("hash"), F.lit(SENTENCE).alias("reading"),
+        F.expr(_marks("h", "0", "size(words)", "h[m] is not null")).alias("marks")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     # Readings agree where a window has no capitalised word.
     once = every.groupBy("item_id", "at", "hash", "width").agg(
-        F.min(F.struct("reading", "vat", "base")).alias("r")).select("item_id", "at", "hash", "width", "r.*")
+        F.min(F.struct("reading", "vat", "base", "marks")).alias("r")).select("item_id", "at", "hash", "width", "r.*")
     counts = once.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
     return once.join(counts, "item_id")
 
 
+def _holders(texts: DataFrame, bench: DataFrame, coverage: float, small: bool, work: Workspace) -> DataFrame:
+    """``node``: the texts that may hold ``coverage`` of an item's places, and all that do.
+
+    A window cannot match where one of its marks is missing, so of each window the mark that the fewest items
+    have is looked for. That takes one cheap pass over the words, without kinds and readings; only texts
+    that have the marks of enough places are read in full.
+    """
+    pairs = F.size("marks.pairs") > 0
+    every = bench.select("item_id", "at", "hash", "width", "windows", pairs.alias("pairs"), F.explode(
+        F.when(pairs, F.col("marks.pairs")).otherwise(F.col("marks.words"))).alias("mark"))
+    spread = every.groupBy("mark").agg(F.count_distinct("item_id").alias("items"))
+    marks = (every.join(spread, "mark").groupBy("item_id", "at", "hash", "width", "windows", "pairs")
+             .agg(F.min(F.struct("items", "mark")).alias("rarest"))
+             .select("item_id", "at", "windows", "pairs", "rarest.mark").distinct())
+    marks = work.keep(marks, "marks")
+    # Two values at most.
+    kinds = {r.pairs for r in marks.select("pairs").distinct().collect()}
+    sent = F.broadcast if small else (lambda df: df)
+    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD), F.lit(0))
+    rows = texts.select("node", F.transform(words, lambda v: F.xxhash64(F.lower(v))).alias("h"))
+    here = F.expr("transform(h, (x, i) -> xxhash64(x, get(h, i + 1)))")
+    if False in kinds:
+        here = F.concat(here, F.expr("transform(h, x -> xxhash64(x))"))
+    # With explode() the optimizer would work the marks out twice, to leave out texts without any.
+    there = rows.select("node", here.alias("marks")).select("node", F.explode_outer("marks").alias("mark"))
+    there = work.keep(there.join(sent(marks.select("mark").distinct()), "mark").distinct(), "marked")
+    return (there.join(sent(marks), "mark").groupBy("node", "item_id", "windows").agg(F.count_distinct("at").alias("at"))
+            .where(F.col("at") >= coverage * F.col("windows")).select("node").distinct())
+
+
 def _document_windows(rows: DataFrame, key: str, widths: Sequence[int], short: Sequence[int]) -> DataFrame:
     """``key, reading, vpos, pos, hash``: all windows of documents, those that read alike once.
 
@@ -165,7 +216,16 @@ def _document_windows(rows: DataFrame, key: str, widths: Sequence[int], short: S
         whole = f"""filter({_upto(f"size(words) - {w}")}, i -> words[i].first
             and (i + {w} = size(words) or words[i + {w}].first))"""
         found.append(windows(SENTENCE, whole, f"xxhash64('sentence', slice(h, j + 1, {w}))"))
-    return rows.select(key, F.explode(F.expr(f"concat({', '.join(found)})")).alias("w")).select(key, "w.*")
+    # With explode() the optimizer would work all windows out twice, to leave out texts without any.
+    return (rows.select(key, F.explode_outer(F.expr(f"concat({', '.join(found)})")).alias("w"))
+            .where("w is not null").select(key, "w.*"))
+
+
+def _among(texts: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
+    """The rows of these texts; the set of nodes is broadcast only if it is small."""
+    nodes = work.keep(nodes, "nodes")
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = None,
@@ -176,6 +236,7 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
     ``units`` after numbers and runs of capitalised words are placeholders. Each text is read in three
     ways, as a capitalised word may be a name or begin a sentence: with names inside sentences only,
     with all capitalised words as names, and without names (which finds other spellings in capitals).
+    Only texts that have the rarest neighbouring words of enough windows of an item are read so (see ``_holders``).
     The windows of documents meet those of the benchmark in a hash join, and a document that holds at
     least ``coverage`` of the places of an item's windows is a candidate. Then the slots are checked:
     each value that the item has in its placeholders must have one value throughout one
@@ -196,12 +257,13 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
     work = work or Workspace(docs.sparkSession, "templates")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("node", F.unhex(F.sha2("text", 256)))
-    bench = work.keep(benchmark_windows(items.select("item_id", "text"), units), "benchmark")
+    bench = work.keep(benchmark_windows(items.select("item_id", "text"), units, work), "benchmark")
     # At most WINDOW numbers.
     sizes = bench.select("width", (F.col("reading") == SENTENCE).alias("short")).distinct().collect()
     widths = sorted(r.width for r in sizes if not r.short) or [WINDOW]
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    exploded = _document_windows(words_of(texts, "node", units), "node", widths,
+    held = _among(texts, _holders(texts, bench, coverage, small, work), work).dropDuplicates(["node"])
+    exploded = _document_windows(words_of(held, "node", units), "node", widths,
                                  sorted(r.width for r in sizes if r.short))
     wanted = bench.select("hash", "item_id", "at", "base", "windows", F.col("reading").alias("item_reading"), "vat", "width")
     hits = exploded.join(F.broadcast(wanted) if small else wanted, "hash")
@@ -210,9 +272,7 @@ def contaminated(docs: DataFrame, items: DataFrame, work: Workspace | None = Non
     found = (hits.groupBy("node", "item_id", "windows").agg(F.count_distinct("at").alias("covered"))
              .where(F.col("covered") >= coverage * F.col("windows")))
     found = work.keep(found, "candidates")
-    nodes = work.keep(found.select("node").distinct(), "nodes")
-    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    chosen = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    chosen = _among(texts, found.select("node").distinct(), work)
 
     # Slots: what stands at the same place of matched windows on both sides.
     doc_slots = _slots(words_of(chosen.dropDuplicates(["node"]), "node", units), "node").select(

@@ -158,3 +158,21 @@ def test_registered(spark, sf_dir):
     expected = {(d, i) for d, t in docs.items() for i, q in bench.items() if f" {q} " in f" {t} "}
     got = found(decontaminate.op6_decontaminate(spark, sf_dir))
     assert set(got) == expected and set(got.values()) == {"verbatim"}
+
+
+def test_few_texts_are_read_in_full(spark, docs, work, monkeypatch):
+    """Texts without an item's rarest neighbouring words get no readings; an item without neighbours is found all the same."""
+    rng = random.Random(11)
+    read = []
+    windows = decontaminate._document_windows
+    monkeypatch.setattr(decontaminate, "_document_windows",
+                        lambda rows, *rest: (read.append(rows.select("node").count()), windows(rows, *rest))[1])
+    rows = [(d, prose(rng, 80)) for d in range(40)] + [(50, f"{prose(rng, 9)} {ITEM}"), (51, f"{prose(rng, 9)} {ITEM}"), (51, ITEM)]
+    assert found(decontaminate.contaminated(docs(rows), items(spark, [(1, ITEM)]), work)) == {
+        (50, 1): "verbatim", (51, 1): "verbatim"}
+    assert read == [3]
+    alone = items(spark, [(1, "take 3 apples 4 pears 5 plums 6"), (2, "Now!"), (3, "why not")])
+    rows += [(60, "and take 5 apples 7 pears 8 plums 9"), (61, "take 5 apples or pears"), (62, "Wait. Now."), (63, "Why not? Wait"), (64, "not now why")]
+    assert found(decontaminate.contaminated(docs(rows), alone, work)) == {
+        (60, 1): "changed", (62, 2): "verbatim", (63, 3): "verbatim"}
+    assert len(read) == 2 and read[1] < 10
